@@ -150,4 +150,4 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for k in range(min(width, len(words))):
         h = h * np.uint64(_STEP) + words[k : k + n]
-    return np.unique(mix64(h + np.uint64(min(width, len(words))) * _ODD))
+    return np.unique(mix64(h + np.uint64(min(width, len(words)) * int(_ODD) % 2**64)))

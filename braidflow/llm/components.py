@@ -1,0 +1,38 @@
+"""Connected components of a graph too large for one machine, by contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from braidflow.llm.common import Scratch
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """edges (a long, b long) -> (node long, root long): every node with an edge, and its component's root.
+
+    Each round hooks every node to the least of itself and its neighbours, follows that pointer once
+    more, and contracts the graph; the rounds grow with the logarithm of a component's diameter. A hub's
+    rows are combined before the shuffle or split by the skewed join, and each round is written to the
+    shared folder, which cuts the lineage.
+    """
+    edges = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
+    labels, k, drop = None, 0, [f"{name}-edges-0"]
+    while labels is None or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p"))
+        hook = scratch.write(hook, f"{name}-hook-{k}")
+        up = hook.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        hook2 = scratch.write(hook.join(up, "p").select("node", F.col("pp").alias("p")), f"{name}-jump-{k}")
+        if labels is None:
+            moved = hook2.select("node", F.col("p").alias("root"))
+        else:
+            moved = labels.join(hook2.select(F.col("node").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        labels = scratch.write(moved, f"{name}-labels-{k}")
+        to = lambda c: hook2.select(F.col("node").alias(c), F.col("p").alias(f"{c}p"))  # noqa: B023, E731
+        fewer = edges.join(to("a"), "a").join(to("b"), "b").select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct()
+        edges = scratch.write(fewer, f"{name}-edges-{k + 1}")
+        scratch.drop(*drop, f"{name}-hook-{k}", f"{name}-jump-{k}")
+        drop = [f"{name}-edges-{k + 1}", f"{name}-labels-{k}"]
+        k += 1
+    return labels
