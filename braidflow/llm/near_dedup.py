@@ -155,7 +155,7 @@ def _confirm_group(group: pa.Table) -> pa.Table:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and rk, the row's key."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rk"), "text")
     sig = scratch.write(rows.mapInArrow(_signatures, "doc_id long, rk long, cid long, n_shingles long, bands array<long>"), "signatures")
@@ -181,9 +181,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component"))
     ids = placed.join(least, "root").select("cid", "component")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = sig.select("doc_id", "n_shingles", "cid").join(ids, "cid", "left")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = sig.select("doc_id", "rk", "n_shingles", "cid").join(ids, "cid", "left")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rk")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents that stay, one of each group, with all their columns."""
+    stay = near_dedup(docs).where("kept").select(F.col("rk").alias("_rk")).distinct()
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    return docs.join(stay, key == F.col("_rk"), "left_semi")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("rk")
