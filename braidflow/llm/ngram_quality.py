@@ -78,22 +78,44 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def into(merged: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Adds one sorted array of distinct keys with counts to another."""
+    (keys, counts), (new, n) = merged, more
+    if not len(keys) or not len(new):
+        return more if len(new) else merged
+    at = np.searchsorted(keys, new)
+    same = keys[np.minimum(at, len(keys) - 1)] == new
+    counts = counts.copy()
+    counts[at[same]] += n[same]
+    return np.insert(keys, at[~same], new[~same]), np.insert(counts, at[~same], n[~same])
+
+
 class Gathered:
     """Counts of keys, merged as they come, within bounded memory."""
 
     def __init__(self):
-        self.merged, self.parts, self.loose = merge([]), [], 0
+        self.merged, self.raw, self.loose = merge([]), [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts))
+    def add(self, keys: np.ndarray) -> None:
+        self.raw.append(keys)
         self.loose += len(keys)
         if self.loose > max(1_000_000, len(self.merged[0])):
             self.settle()
 
+    def add_counted(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.merged = into(self.merged, (keys, counts))
+
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        self.merged, self.parts, self.loose = merge([self.merged, *self.parts]), [], 0
+        if self.raw:
+            self.merged = into(self.merged, tally(np.concatenate(self.raw)))
+        self.raw, self.loose = [], 0
         return self.merged
 
 
@@ -122,7 +144,7 @@ def _merge_shards(blobs: DataFrame, shards: int) -> DataFrame:
                     if at is not None:
                         yield _rows([at], [pack(*own.settle())])
                     at, own = shard, Gathered()
-                own.add(*unpack(blob))
+                own.add_counted(*unpack(blob))
         if at is not None:
             yield _rows([at], [pack(*own.settle())])
 
@@ -148,8 +170,8 @@ def vocabularies(docs: DataFrame, shards: int, size: int = VOCABULARY) -> tuple[
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["lang", "shard", "blob"])
 
         for batch in slices(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text")), strict=True):
-                found.setdefault(lang, Gathered()).add(word_hashes(text.lower()))
+            for lang, _, texts in by_language(batch):
+                found.setdefault(lang, Gathered()).add(np.concatenate(texts))
             if sum(len(x.merged[0]) for x in found.values()) > FLUSH_KEYS:
                 yield from sent()
                 found.clear()
@@ -170,7 +192,7 @@ def vocabularies(docs: DataFrame, shards: int, size: int = VOCABULARY) -> tuple[
                     if at is not None:
                         yield best()
                     at, own = (lang, shard), Gathered()
-                own.add(*unpack(blob))
+                own.add_counted(*unpack(blob))
         if at is not None:
             yield best()
 
@@ -188,16 +210,30 @@ def vocabularies(docs: DataFrame, shards: int, size: int = VOCABULARY) -> tuple[
     return sorted_words, {lang: max(1, n - size) for lang, n in rest.items()}
 
 
-def word_ids(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Ids of a text's words, after two marks of its start."""
-    ids = np.full(len(words) + 2, _START, np.uint64)
+def word_ids(texts: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of several texts' words, each text after two marks of its start, and where the words are."""
+    sizes = np.array([len(w) for w in texts])
+    words = np.concatenate(texts)
+    ids = np.full(len(words) + 2 * len(texts), _START, np.uint64)
+    places = np.arange(len(words)) + 2 * np.repeat(np.arange(1, len(texts) + 1), sizes)
     at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    ids[2:] = np.where(vocabulary[at] == words, at + 1, 0)
-    return ids
+    ids[places] = np.where(vocabulary[at] == words, at + 1, 0)
+    return ids, places
+
 
+def trigram_keys(ids: np.ndarray, places: np.ndarray, language: int) -> np.ndarray:
+    return ((np.uint64(language) * _B + ids[places - 2]) * _B + ids[places - 1]) * _B + ids[places]
 
-def trigram_keys(ids: np.ndarray, language: int) -> np.ndarray:
-    return ((np.uint64(language) * _B + ids[:-2]) * _B + ids[1:-1]) * _B + ids[2:]
+
+def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[np.ndarray]]]:
+    """The batch's texts that have words, as hashes, under their language, and their rows."""
+    found: dict[str, tuple[list[int], list[np.ndarray]]] = {}
+    for row, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text")), strict=True)):
+        if len(words := word_hashes(text.lower())):
+            rows, texts = found.setdefault(lang, ([], []))
+            rows.append(row)
+            texts.append(words)
+    return ((lang, *own) for lang, own in found.items())
 
 
 # ---- model
@@ -220,19 +256,25 @@ class Model:
     back1: np.ndarray = field(default_factory=lambda: np.empty(0))
     p1: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
 
-    def log2p(self, words: np.ndarray, lang: str) -> np.ndarray:
-        """log2 of each word's probability after the two before it; an unknown word shares its mass evenly."""
-        language = self.languages[lang]
-        ids = word_ids(words, self.vocabulary[lang])
-        key3 = trigram_keys(ids, language)
-        key2 = (np.uint64(language) * _B + ids[1:-1]) * _B + ids[2:]
-        p = self.p1[language][ids[2:].astype(np.int64)]
+    def probability(self, keys: np.ndarray) -> np.ndarray:
+        """Of the last word after the two before it, for sorted trigram keys."""
+        language, low = keys // _B**3, keys % _B**2
+        key2 = language * _B**2 + low
+        p = self.p1[language.astype(np.int64), (keys % _B).astype(np.int64)]
         p = look_up(self.keys2, self.p2, key2, 0.0) + look_up(self.ctx1, self.back1, key2 // _B, 1.0) * p
-        p = look_up(self.keys3, self.p3, key3, 0.0) + look_up(self.ctx2, self.back2, key3 // _B, 1.0) * p
-        return np.log2(np.maximum(p, 1e-12)) - np.where(ids[2:] == 0, np.log2(self.unseen[lang]), 0.0)
+        return look_up(self.keys3, self.p3, keys, 0.0) + look_up(self.ctx2, self.back2, keys // _B, 1.0) * p
+
+    def log2p(self, texts: list[np.ndarray], lang: str) -> list[float]:
+        """Each text's mean log2 probability of a word; an unknown word's is its share of all unknown words'."""
+        ids, places = word_ids(texts, self.vocabulary[lang])
+        keys, which = np.unique(trigram_keys(ids, places, self.languages[lang]), return_inverse=True)
+        logs = np.log2(np.maximum(self.probability(keys), 1e-12))[which] - np.where(ids[places] == 0, np.log2(self.unseen[lang]), 0.0)
+        sizes = np.array([len(w) for w in texts])
+        return (np.add.reduceat(logs, np.cumsum(sizes) - sizes) / sizes).tolist()
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """By binary search; wanted keys in near order keep it within the cache."""
     if not len(keys):
         return np.full(len(wanted), default)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -338,9 +380,8 @@ def fit(docs: DataFrame, scratch: Scratch, max_ngrams: int = MAX_NGRAMS) -> Mode
         languages, vocabulary = shared.value
         own = Gathered()
         for batch in slices(batches):
-            keys = [trigram_keys(word_ids(w, vocabulary[lang]), languages[lang]) for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text")), strict=True) if len(w := word_hashes(text.lower()))]
-            if keys:
-                own.add(np.concatenate(keys))
+            for lang, _, texts in by_language(batch):
+                own.add(trigram_keys(*word_ids(texts, vocabulary[lang]), languages[lang]))
             if len(own.merged[0]) > FLUSH_KEYS:
                 keys, counts = own.settle()
                 yield from _send(keys, counts, mix64(keys // _B) % np.uint64(shards), shards)
@@ -388,12 +429,15 @@ def base_statistics(text: bytes) -> tuple[int, int, int, int, int]:
         h = np.zeros(n, np.uint64)
         for k in range(WINDOW):
             h = h * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
-        _, which, counts = np.unique(mix64(h), return_inverse=True, return_counts=True)
-        again = np.flatnonzero(counts[which] > 1)
-        cover = np.zeros(len(words) + 1, np.int64)
-        np.add.at(cover, again, 1)
-        np.add.at(cover, again + WINDOW, -1)
-        repeated = int((np.cumsum(cover)[:-1] > 0).sum())
+        ordered = np.sort(h)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twice):
+            at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
+            again = twice[at] == h
+            cover = np.zeros(len(words) + 1, np.int64)
+            cover[:n] += again
+            cover[WINDOW:] -= again
+            repeated = int((np.cumsum(cover)[:-1] > 0).sum())
     return len(words), chars, symbols, duplicates, repeated
 
 
@@ -404,10 +448,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches):
-            base, ppl = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text")), strict=True):
-                base.append(base_statistics(text))
-                ppl.append(float(-m.log2p(word_hashes(text.lower()), lang).mean()) if base[-1][0] else None)
+            base = [base_statistics(x) for x in byte_texts(batch.column("text"))]
+            ppl: list[float | None] = [None] * len(base)
+            for lang, rows, texts in by_language(batch):
+                for row, mean in zip(rows, m.log2p(texts, lang), strict=True):
+                    ppl[row] = -mean
             columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
             failed = pa.array([b[0] < MIN_WORDS or 100 * b[4] > MAX_REPEAT_PERCENT * b[0] for b in base], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns, failed, pa.array(ppl, pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log2_ppl"])
