@@ -49,40 +49,52 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class BpeIds(dict):
-    """Text up to the next space -> its ids as little-endian bytes.
+class Ids(dict):
+    """Word -> its ids, with a prefix put before it, as little-endian bytes. Forgets all when full."""
+
+    def __init__(self, prefix: str, code: str, encode, room: int, marks: Ids | None = None):
+        super().__init__()
+        self.prefix, self.code, self.encode, self.room = prefix, code, encode, room
+        self.marks = self if marks is None else marks
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(MARKS)
+        if letters and len(letters) < len(word) and letters[-1].isalpha():  # letters end where marks begin
+            return self[letters] + self.marks[word[len(letters) :]]
+        ids = array(self.code, self.encode(self.prefix + word)).tobytes()
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class BpeIds:
+    """A text's ids, word by word.
 
     The library's pre-tokenizer never joins a character with a space that follows it, so a text's ids are
-    those of its parts, each with the space before it. The file's merges are run as ranks by tiktoken,
-    which is faster on short parts; texts with an added token's string go to the library whole.
+    those of its words, each with the space before it; a single line end between two words is a part by
+    itself. The file's merges are run as ranks by tiktoken, which is faster on short parts; texts with
+    an added token's string go to the library whole.
     """
 
     def __init__(self, spec: str, room: int = CACHE_ENTRIES):
         import tiktoken
 
-        super().__init__()
-        self.spec, self.room, self.library = spec, room, None
+        self.spec, self.library = spec, None
         model = json.loads(spec)
         self.added = [x["content"] for x in model["added_tokens"]]
         self.kind = "<u2" if max(model["model"]["vocab"].values()) < 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
-        self.end = np.array([END_ID], self.kind).tobytes()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(c): b for b, c in [(b, b) for b in plain] + [(b, 256 + k) for k, b in enumerate(others)]}
         ranks = {bytes(byte_of[c] for c in x): i for x, i in model["model"]["vocab"].items() if x not in self.added}
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, part: str) -> bytes:
-        word = part.rstrip(MARKS)
-        if word and len(word) < len(part) and word[-1].isalpha():  # letters end where marks begin
-            return self[word] + self[part[len(word) :]]
-        ids = array(self.code, self.encode(part)).tobytes()
-        if len(part) <= LONGEST_CACHED:
-            if len(self) >= self.room:
-                self.clear()
-            self[part] = ids
-        return ids
+        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.bare = Ids("", self.code, encode, room // 4)
+        self.spaced = Ids(" ", self.code, encode, room, self.bare)
+        self.line = self.bare["\n"]
+        self.end = np.array([END_ID], self.kind).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """The text's ids, and the end id."""
@@ -92,18 +104,28 @@ class BpeIds(dict):
 
                 self.library = Tokenizer.from_str(self.spec)
             return np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], self.kind)
-        return np.frombuffer(b"".join(map(self.__getitem__, parts(text))) + self.end, self.kind)
-
-
-def parts(text: str) -> list[str]:
+        return np.frombuffer(b"".join(self.parts(text)) + self.end, self.kind)
+
+    def parts(self, text: str) -> list[bytes]:
+        if not text:
+            return []
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            words = iter(line.split(" "))
+            first = next(words)
+            if not first:
+                return list(map(self.bare.__getitem__, cut(text)))
+            out.append(self.bare[first])
+            out += map(self.spaced.__getitem__, words)
+            out.append(self.line)
+        out.pop()
+        return out if "  " not in text and " \n" not in text and text[-1] != " " else list(map(self.bare.__getitem__, cut(text)))
+
+
+def cut(text: str) -> list[str]:
     """A text cut before each space that follows another character than a space."""
-    if not text:
-        return []
-    words = text.split(" ")
-    if "" not in words:
-        return [words[0], *[" " + x for x in words[1:]]]
     out, run = [], ""
-    for k, x in enumerate(words):
+    for k, x in enumerate(text.split(" ")):
         run += " " if k else ""
         if x:
             out.append(run + x)
@@ -114,13 +136,22 @@ def parts(text: str) -> list[str]:
 def _squeeze(ids: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.compress(ids.tobytes(), 1)
+    global _compressor
+    if _compressor is None:
+        _compressor = zstandard.ZstdCompressor(level=1)
+    return _compressor.compress(ids.tobytes())
 
 
 def _unsqueeze(blob: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(blob), kind)
+    global _decompressor
+    if _decompressor is None:
+        _decompressor = zstandard.ZstdDecompressor()
+    return np.frombuffer(_decompressor.decompress(blob), kind)
+
+
+_compressor = _decompressor = None
 
 
 def _tail(ids: np.ndarray) -> np.ndarray:
