@@ -12,7 +12,7 @@ def fixed(col: Column, digits: int = 8) -> Column:
 
 def feature_lines(rows: DataFrame) -> DataFrame:
     """row_id, x -> row_id, value: comma-separated with eight decimals."""
-    return rows.select("row_id", F.array_join(F.transform("x", fixed), ",").alias("value"))
+    return rows.select("row_id", F.array_join(F.transform("x", lambda x: fixed(x)), ",").alias("value"))
 
 
 def write_features(rows: DataFrame, path: str) -> None:
