@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidflow.llm.common import Scratch, byte_texts, slices, table, word_hashes
+from braidflow.llm.common import Scratch, byte_texts, fresh, slices, table, word_hashes
 
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 16_384
@@ -126,11 +126,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE, rou
     if not total:
         return []
     share = np.maximum(at_first / total, 1e-3)
-    reached, steps = at_first, []
+    reached, steps, before = at_first, [], np.full(width, np.inf)
     for _ in range(rounds):
         miss = (reached - targets * total) / total
-        if np.abs(miss).max() < CLOSE:
+        if np.abs(miss - before).max() < CLOSE:  # the ridge leaves a small miss, so it settles short of zero
             break
+        before = miss
         steps.append(miss / share)
         reached = sums(steps)
     return steps
@@ -167,7 +168,7 @@ def repeat(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> D
             yield batch.select(range(width)).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
 
     schema = docs.schema
-    return docs.withColumn("_u", F.xxhash64(rk, F.lit(11))).mapInArrow(run, schema)
+    return docs.withColumn(fresh(docs.columns, "u")[0], F.xxhash64(rk, F.lit(11))).mapInArrow(run, schema)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidflow.llm.common import Scratch, byte_texts, mix64, shingle_hashes, slices, table, word_hashes
+from braidflow.llm.common import Scratch, byte_texts, fresh, mix64, shingle_hashes, slices, table, word_hashes
 from braidflow.llm.components import connected_components
 
 WIDTH = 5
@@ -187,9 +187,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    stay = near_dedup(docs).where("kept").select(F.col("rk").alias("_rk")).distinct()
+    (rk,) = fresh(docs.columns, "rk")
+    stay = near_dedup(docs).where("kept").select(F.col("rk").alias(rk)).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    return docs.join(stay, key == F.col("_rk"), "left_semi")
+    return docs.join(stay, key == F.col(rk), "left_semi")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
