@@ -118,6 +118,32 @@ def train_linear_all(rows: DataFrame, weights: dict[int, float] | None = None, e
     return LinearPairs(tuple(pairs), tuple(map(tuple, w[:, :-1].tolist())), tuple(w[:, -1].tolist()))
 
 
+def train_validated(rows: DataFrame, held: DataFrame, rounds: int = 10, every: int = 20, min_delta: float = 1e-4, patience: int = 3) -> tuple[LinearPairs, LinearPairs, list[tuple]]:
+    """Trains for every more epochs at a time and validates on rows of its own, never on test rows.
+
+    Returns the final model, the best checkpoint by macro F1, and the log: epoch, rate, accuracy, macro_f1.
+    Stops after patience validations without an improvement by more than min_delta.
+    """
+    from dataclasses import replace
+
+    from braidflow.operators import hybrid, metrics, scoring
+
+    best, last, log, top, since = None, None, [], float("-inf"), 0
+    for k in range(1, rounds + 1):
+        last = replace(train_linear(rows, epochs=k * every), checkpoint="final")
+        judged = hybrid.judge(scoring.score(held, last), hybrid.PROFILES["mpi"]).withColumn("final", F.col("pred"))
+        f1 = metrics.macro_f1(judged, "trained").first()["macro_f1"]
+        accuracy = metrics.rates(judged).first()["accuracy_strict"]
+        log.append((k * every, learning_rate(k * every, rounds * every), accuracy, f1))
+        if f1 > top + min_delta:
+            best, top, since = replace(last, checkpoint="best"), f1, 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+    return last, best, log
+
+
 def train_fourier(rows: DataFrame, fourier: Fourier, epochs: int = 50, most: int = 2500) -> LinearPairs:
     """The linear trainer on random Fourier features."""
     omega, phase = np.array(fourier.omega).T, np.array(fourier.phase)

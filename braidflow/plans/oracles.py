@@ -287,5 +287,8 @@ SELECT model, round(100 * coalesce(nullif(a, 0), b, 0), 6) AS accuracy, round(m,
     "registry_comparison": f"WITH {_MODELS} SELECT list_position([{', '.join(repr(x) for x in ORDER)}], model) AS position, model, accuracy, round(train_ms / 1000, 6) AS train_s, round(predict_ms / 1000, 6) AS predict_s, round(total_ms / 1000, 6) AS total_s, gflops FROM models",
     "speedups": f"WITH {_MODELS}, b AS (SELECT l.model AS left_model, r.model AS right_model, l.total_ms AS lt, r.total_ms AS rt, l.gflops AS lg, r.gflops AS rg FROM {_values(COMPARED, 'a, b', 'c')} JOIN models l ON l.model = c.a JOIN models r ON r.model = c.b) SELECT left_model, right_model, 'total_ms' AS metric, lt AS left_value, rt AS right_value, round(greatest(lt, rt) / least(lt, rt), 6) AS ratio, CASE WHEN lt <= rt THEN left_model ELSE right_model END AS winner FROM b UNION ALL SELECT left_model, right_model, 'gflops', lg, rg, round(greatest(lg, rg) / least(lg, rg), 6), CASE WHEN lg >= rg THEN left_model ELSE right_model END FROM b",
     "cosine_rate": "SELECT CAST(e AS INT) AS epoch, round(0.001 + 0.5 * (0.05 - 0.001) * (1 + cos(pi() * e / 200)), 9) AS rate FROM range(200) r(e)",
+    "prediction_distribution": f"WITH {judged(PROFILES['mpi'])} SELECT pred AS class_id, {name_of('pred')} AS name, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM judged GROUP BY pred",
+    "epoch_errors": "SELECT *, CASE WHEN n_train = 0 THEN 0.0 ELSE train_errors / n_train END AS train_error, val_errors / n_val AS val_error FROM (VALUES (2, 3, 0, 10, 100, 5, 20), (2, 4, 0, 0, 0, 1, 4)) v(class_a, class_b, epoch, train_errors, n_train, val_errors, n_val)",
+    "accuracy_csv": "SELECT CAST(0.93 AS DOUBLE) AS train_accuracy, CAST(0.91 AS DOUBLE) AS test_accuracy",
     "stream_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidflow.functions.vectors import doubles, rounded
-from braidflow.operators import clustering, hybrid, metrics, prep, registry, scoring, serving, taxonomy, training
+from braidflow.operators import clustering, hybrid, metrics, prep, registry, scoring, service, serving, taxonomy, training
 from braidflow.operators.hybrid import PROFILES
 from braidflow.operators.models import Fourier, centroid_pairs, class_moments, lda_pairs, prototype_kernel
 from braidflow.operators.taxonomy import HOLDOUT, TRAINED
@@ -461,6 +461,24 @@ def _trained(fit):
     return query
 
 
+def train_validated_log(spark, d):
+    split = prep.stratified_split(trained(spark, d), "label", "row_id")
+    _, _, log = training.train_validated(split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split"), 3, 20)
+    return spark.createDataFrame([tuple(map(float, r)) for r in log], "epoch double, rate double, accuracy double, macro_f1 double")
+
+
+def prediction_distribution(spark, d):
+    return service.prediction_distribution(judged(spark, d, "mpi").select(F.col("pred").alias("predicted")))
+
+
+def epoch_errors(spark, d):
+    return service.epoch_errors(lines(spark, "class_a,class_b,epoch,train_errors,n_train,val_errors,n_val", "2,3,0,10,100,5,20", "2,3,1,4,100,x,20", "2,4,0,0,0,1,4"))
+
+
+def accuracy_csv(spark, d):
+    return service.accuracy_csv(lines(spark, "train,test", "0.93,0.91", "1,1"))
+
+
 def train_rff(spark, d):
     fourier = Fourier.draw(DIMS, 256, 0.5)
     model = training.train_fourier(rows(spark, d), fourier, 60)
@@ -496,7 +514,7 @@ QUERIES = {
         one_vs_all, score_maps, rbf_scores, rff_map, route_rows, confusion_matrix, macro_f1, detection_by_class, pool_breakdown, mean_confidence, quality_as_truth, neighbour_counts, dbscan_clusters,
         dbscan_strict, kth_distance, knee_radius, percentile_radius, cluster_centroids, nearest_centroid, cluster_labels, serve_plain, serve_hybrid_online, serve_hybrid_pretrained, serve_summary,
         serve_pure, parse_config, parse_label_map, parse_upload, parse_pasted, parse_section, parse_json_features, parse_run_log, parse_metric_log, best_epoch, early_stopping, registry_overview,
-        registry_comparison, speedups, cosine_rate, shown_labels, train_rff, principal_components, stream_counts,
+        registry_comparison, speedups, cosine_rate, shown_labels, train_rff, train_validated_log, prediction_distribution, epoch_errors, accuracy_csv, principal_components, stream_counts,
     )
 } | {
     **{f"per_class_prf_{v}": _prf(v) for v in ("all", "trained", "restricted")},

@@ -81,3 +81,20 @@ def test_cleaning_and_constant_features(spark):
     with pytest.raises(ValueError):
         prep.label_column(rows.select("f"))
     assert prep.scaler(got, ["g"])["g"] == (5.0, 1.0)
+
+
+def test_models_and_clusters_are_stored(spark, tmp_path):
+    from braidflow.operators import models, service
+    from braidflow.operators.taxonomy import PAIRS
+
+    linear = models.LinearPairs(PAIRS, ((1.0, 2.0),) * 6, (0.5,) * 6, "final")
+    assert service.load_model(spark, str(tmp_path / "none")) is None
+    models.save(linear.table(spark), str(tmp_path / "m"))
+    assert service.load_model(spark, str(tmp_path / "m")) == linear
+    found = {r["model"]: r["loadable"] for r in service.loadable(spark, {"mpi": str(tmp_path / "m"), "cuda": str(tmp_path / "none")}).collect()}
+    assert found == {"cuda": False, "mpi": True, "openmp": False, "thread": False, "pyspark": False}
+    assert service.model_info(spark, "mpi", linear).first()["n_features"] == 2
+    clusters = spark.createDataFrame([(0, [1.0, 2.0], 4), (1, [3.0, 4.0], -2)], "cluster_id int, centroid array<double>, cluster_label int")
+    service.save_clusters(clusters, str(tmp_path / "c"), eps=1.0, min_samples=8)
+    assert service.load_clusters(spark, str(tmp_path / "c"), 2) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+    assert service.load_clusters(spark, str(tmp_path / "c"), 6) is None and service.load_clusters(spark, str(tmp_path / "x"), 2) is None
