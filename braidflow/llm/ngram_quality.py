@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from braidflow.llm.common import _SPACE, Scratch, byte_texts, mix64, slices, table, word_hashes
 
 VOCABULARY = 4096
-MAX_NGRAMS = 2_000_000
+MAX_NGRAMS = 1_000_000
 FLUSH_KEYS = 4_000_000
 MAX_SHARDS = 4096
 LOWER, UPPER = 3.5, 1.8
@@ -299,7 +299,9 @@ def _tallies(order: int, languages: int):
             for k in range(1, 5):
                 few[:, k] += np.bincount(language[counts == k], minlength=languages)
             histogram += np.bincount(np.minimum(counts, 64), minlength=65)
-        yield pa.RecordBatch.from_arrays([pa.array([few.ravel().tolist()], pa.list_(pa.int64())), pa.array([histogram.tolist()], pa.list_(pa.int64()))], names=["few", "histogram"])
+        counts = np.concatenate([few.ravel(), histogram])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["k", "n"])
 
     return run
 
@@ -322,10 +324,10 @@ def _weights(keys: np.ndarray, counts: np.ndarray, order: int, discount: np.ndar
 
 def _estimate_order(merged: DataFrame, order: int, languages: int, max_ngrams: int):
     """The arrays of one order. The driver gets max_ngrams entries at most, and one for each context of theirs."""
-    tallied = merged.mapInArrow(_tallies(order, languages), "few array<long>, histogram array<long>")
-    row = tallied.agg(*(F.sum(F.col("few")[k]).alias(f"f{k}") for k in range(5 * languages)), *(F.sum(F.col("histogram")[k]).alias(f"h{k}") for k in range(65))).first()
-    few = np.array([row[f"f{k}"] or 0 for k in range(5 * languages)]).reshape(languages, 5)
-    histogram = [row[f"h{k}"] or 0 for k in range(65)]
+    tallied = np.zeros(5 * languages + 65, np.int64)
+    for r in merged.mapInArrow(_tallies(order, languages), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        tallied[r["k"]] = r["n"]  # five numbers for each language, and 65
+    few, histogram = tallied[: 5 * languages].reshape(languages, 5), tallied[5 * languages :]
     least = next((k for k in range(1, 65) if sum(histogram[k:]) <= max_ngrams), 65)
     if least > 64:  # so many are frequent that the cut-off needs exact counts
         def large(batches):
@@ -347,6 +349,7 @@ def _estimate_order(merged: DataFrame, order: int, languages: int, max_ngrams: i
 
     rows = merged.mapInArrow(weigh, "k binary, p binary, c binary, b binary").collect()
     arrays = [np.frombuffer(b"".join(r[c] for r in rows), "<u8" if c in "kc" else "<f4") for c in "kpcb"]
+    del rows
     by_key, by_context = np.argsort(arrays[0]), np.argsort(arrays[2])
     return arrays[0][by_key], arrays[1][by_key], arrays[2][by_context], arrays[3][by_context]
 
