@@ -2,80 +2,22 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder is made, but only for a local master: on a cluster the
-    executors could not see it, so that is an error.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="braidflow-"))
-
-
-class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no more than a reread.
-
-    drop() removes a table as soon as nothing reads it; what is left goes when the application ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        path = self._path(self.base)
-        path.getFileSystem(self._hadoop()).deleteOnExit(path)
-
-    def _hadoop(self):
-        return self.spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/{name}")
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.base}/{name}")
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self._path(f"{self.base}/{name}")
-            path.getFileSystem(self._hadoop()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that are over, instead of when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+from braidflow.shared import Scratch, release, scratch_root, table
 
+__all__ = ["Scratch", "byte_texts", "fresh", "lower_ascii", "mix64", "release", "scratch_root", "shingle_hashes", "slices", "table", "word_hashes"]
 
 def lower_ascii(col: Column) -> Column:
     """Lower-cases A-Z only; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, changed where a table already has them, so that its own columns stay apart."""
     taken = {c.lower() for c in columns}

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 
 from braidflow.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
-from braidflow.llm.common import shingle_hashes, word_hashes
+from braidflow.llm.common import word_hashes
 from tests.llm.conftest import SCHEMA, document, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
