@@ -13,6 +13,7 @@ from braidflow.shared import Scratch, release, scratch_root, table
 
 __all__ = ["Scratch", "byte_texts", "fresh", "lower_ascii", "mix64", "release", "scratch_root", "shingle_hashes", "slices", "table", "word_hashes"]
 
+
 def lower_ascii(col: Column) -> Column:
     """Lower-cases A-Z only; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
