@@ -52,16 +52,18 @@ def default_tokenizer() -> str:
 class Ids(dict):
     """Word -> its ids, with a prefix put before it, as little-endian bytes. Forgets all when full."""
 
-    def __init__(self, prefix: str, code: str, encode, room: int, marks: Ids | None = None):
+    def __init__(self, prefix: str, code: str, encoding, room: int, marks: Ids | None = None):
         super().__init__()
-        self.prefix, self.code, self.encode, self.room = prefix, code, encode, room
+        self.prefix, self.code, self.room = prefix, code, room
+        self.encode, self.piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
         self.marks = self if marks is None else marks
 
     def __missing__(self, word: str) -> bytes:
         letters = word.rstrip(MARKS)
         if letters and len(letters) < len(word) and letters[-1].isalpha():  # letters end where marks begin
             return self[letters] + self.marks[word[len(letters) :]]
-        ids = array(self.code, self.encode(self.prefix + word)).tobytes()
+        part = self.prefix + word
+        ids = array(self.code, self.piece(part.encode()) if word.isalpha() else self.encode(part)).tobytes()  # letters are one part
         if len(word) <= LONGEST_CACHED:
             if len(self) >= self.room:
                 self.clear()
@@ -90,9 +92,9 @@ class BpeIds:
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(c): b for b, c in [(b, b) for b in plain] + [(b, 256 + k) for k, b in enumerate(others)]}
         ranks = {bytes(byte_of[c] for c in x): i for x, i in model["model"]["vocab"].items() if x not in self.added}
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.bare = Ids("", self.code, encode, room // 4)
-        self.spaced = Ids(" ", self.code, encode, room, self.bare)
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bare = Ids("", self.code, encoding, room // 4)
+        self.spaced = Ids(" ", self.code, encoding, room, self.bare)
         self.line = self.bare["\n"]
         self.end = np.array([END_ID], self.kind).tobytes()
 
@@ -161,15 +163,16 @@ def _tail(ids: np.ndarray) -> np.ndarray:
 def _tokenised(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = BpeIds(spec.value)
+        order = mix64(np.arange(1 << 16 if bpe.kind == "<u2" else 1 << 20, dtype=np.uint64)) >> np.uint64(2)
+        order[:COMMON_IDS] += np.uint64(1 << 62)  # after all others
         for batch in slices(batches, 256):
             blobs, sizes, signatures = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = bpe.ids(text or "")
                 blobs.append(_squeeze(ids))
                 sizes.append(len(ids))
-                terms = np.unique(_tail(ids))
-                rare = terms[terms >= COMMON_IDS]
-                signatures.append(int(mix64((rare if len(rare) else terms if len(terms) else ids[:1]).astype(np.uint64)).min() >> np.uint64(1)))
+                tail = _tail(ids)
+                signatures.append(int(order[tail if len(tail) else ids[:1]].min()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "rk", "doc_tokens", "signature", "ids"])
 
     return run
@@ -179,13 +182,10 @@ def _frequencies(kind: str):
     """How many items of the task have each token id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, np.int64)
+        counts = np.zeros(1 << 16 if kind == "<u2" else 1 << 20, np.int64)
         for batch in slices(batches):
             for blob in batch.column("ids").to_pylist():
-                terms = np.unique(_tail(_unsqueeze(blob, kind)))
-                if len(terms) and terms[-1] >= len(counts):
-                    counts = np.pad(counts, (0, int(terms[-1])))
-                counts[terms] += 1
+                counts[_tail(_unsqueeze(blob, kind))] += 1  # once for each id, however often it occurs
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["term", "df"])
 
