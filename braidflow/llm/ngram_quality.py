@@ -1,30 +1,43 @@
-"""Quality rules: base statistics, and a modified Kneser-Ney trigram model with perplexity bands.
+"""Quality rules: base statistics, and a modified Kneser-Ney model with perplexity bands by language.
 
-Counting. Words are lower-cased (A-Z) and hashed; each language keeps its VOCABULARY most frequent
-words, the rest are one unknown word. Every task counts the trigrams of its texts and sends, for each
-shard of the contexts, one sorted array of n-gram keys with counts, as deltas under zstandard; the
-owner of a shard merges what all tasks sent. From the merged trigrams come the continuation counts of
-bigrams, sharded and merged in the same way, and from those the unigrams'.
+Counting. Words are lower-cased (A-Z) and hashed with their language, so a word of two languages is two
+words. Every n-gram of every text is counted: no vocabulary and no array has a bound that drops any. A
+task counts the word pairs of its texts, a start mark before each, and sends each shard of the contexts
+one sorted array of hashed words with a sorted array of pairs and counts, as deltas under zstandard. The
+owner of a shard merges what all tasks sent into one row of the model's table in the shared folder. A word's
+continuation count, the number of different words before it, adds up in the same way.
 
-Model. Modified Kneser-Ney discounts (D1, D2, D3+) are computed for each order and language. Its
-probabilities and back-off weights stand in sorted arrays of keys, read by binary search. The arrays
-are bounded: of each order the MAX_NGRAMS most frequent n-grams at most stay, by a count cut-off, and
-the mass of those cut goes to the back-off weights, so that probabilities still add up to one. The
-counts and discounts themselves cover all texts.
+Model. Modified Kneser-Ney of order 2. Discounts (D1, D2, D3+) of each order come from the counts of counts
+of a language (languages are told apart by SLOT_BITS bits of their hash here, so two of very many may share
+their discounts and unigram totals, and no table of theirs exceeds 2^SLOT_BITS rows). A document's own counts are
+withheld when it is scored: with c' = c - own occurrences,
+
+    p(w | v) = (c'(v w) - D(c'(v w)))+ / c'(v) + S'(v) / c'(v) * p1(w),   S'(v) = sum over w of D(c'(v w)),
+    p1(w) = (cc(w) - D(cc(w))) / sum of cc + (sum of D(cc)) / sum of cc / number of words,
+
+and p = p1 where nothing else follows v. So a document is no evidence for itself, and a word that it alone has is
+scored by p1, which every word of the corpus has: there is no unknown word.
+
+Scoring. No array is broadcast. The documents send, in ROUNDS parts, their pairs with the places of the
+documents to the shards that own them; the owners answer with each document's bits, as whole numbers of 2^-20
+bit, so that sums don't depend on their order, on CHUNK_WORDS, on ROUNDS or on the number of shards. A shard with a very
+frequent context gets as many tasks as its share asks for, each with its own copy of the shard.
 
 Verdict. A document's log2 perplexity must lie within its language's band: the median of all
 documents that pass the base rules, plus or minus WIDTH times the spread from the median to the 5th
-or 95th percentile, wider for short documents by sqrt(1 + SHORT / words). Languages come from the
-lang column; null is a language of its own.
+or 95th percentile, wider for short documents by sqrt(1 + SHORT / words). Percentiles are of values rounded to
+1/BINS bit. Languages come from the lang column; null is a language of its own, the same as the empty one.
 
-Defined cases: a null text has no words; a text without words fails the base rules; a language none
-of whose documents passes them has no band; repeated rows each get a row.
+Defined cases: a null text has no words; a text without words fails the base rules and has no perplexity; a
+language none of whose documents passes them has no band, and its documents are judged by the base rules alone; repeated
+rows each get a row; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,253 +45,223 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidflow.llm.common import _SPACE, Scratch, byte_texts, mix64, slices, table, word_hashes
+from braidflow.llm.common import _SPACE, Scratch, byte_texts, mix64, release, slices, table, word_hashes
 
-VOCABULARY = 4096
-MAX_NGRAMS = 1_000_000
-FLUSH_KEYS = 4_000_000
+CHUNK_WORDS = 4_000_000
+MERGE_PAIRS = 8_000_000
 MAX_SHARDS = 4096
+ROUNDS = 3
+SLOT_BITS = 16
+SCALE = 1 << 20
+BINS = 1000
 LOWER, UPPER = 3.5, 1.8
 SHORT = 100
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
-_B = np.uint64(VOCABULARY + 2)  # word ids: 0 unknown, 1 to VOCABULARY, and the start of a text
-_START = VOCABULARY + 1
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+_START = np.uint64(0x5354415254)
+_LOW = np.uint64(64 - SLOT_BITS)
+_U = np.uint64
 
 
-# ---- sorted arrays of keys with counts
+# ---- sorted arrays under zstandard
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as planes of their bytes, without the planes that are zero throughout."""
     import zstandard
 
-    deltas = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    small = counts.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=3).compress(np.concatenate([deltas, small]).tobytes())
+    head, body = [struct.pack("<B", len(arrays))], []
+    for a in arrays:
+        planes = np.ascontiguousarray(a, "<u8").view(np.uint8).reshape(-1, 8).T
+        used = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        head.append(struct.pack("<QB", len(a), used))
+        body.append(np.ascontiguousarray(planes[:used]).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unsqueeze(blob: bytes) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(16, -1)
-    deltas, counts = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in (planes[:8], planes[8:]))
-    return np.cumsum(deltas, dtype=np.uint64), counts.astype(np.int64)
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n_arrays, at = data[0], 1
+    sizes = [struct.unpack_from("<QB", data, at + 9 * k) for k in range(n_arrays)]
+    at += 9 * n_arrays
+    out = []
+    for n, used in sizes:
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :used] = np.frombuffer(data, np.uint8, n * used, at).reshape(used, n).T
+        at += n * used
+        out.append(planes.view("<u8").ravel())
+    return out
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted array of distinct keys; counts of a key add up."""
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def deltas(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=_U(0))
 
 
-def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and how often each occurs."""
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
+def sums(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=np.uint64)
 
 
-def into(merged: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Adds one sorted array of distinct keys with counts to another."""
-    (keys, counts), (new, n) = merged, more
-    if not len(keys) or not len(new):
-        return more if len(new) else merged
-    at = np.searchsorted(keys, new)
-    same = keys[np.minimum(at, len(keys) - 1)] == new
-    counts = counts.copy()
-    counts[at[same]] += n[same]
-    return np.insert(keys, at[~same], new[~same]), np.insert(counts, at[~same], n[~same])
+def _starts(a: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
 
 
-class Gathered:
-    """Counts of keys, merged as they come, within bounded memory."""
+def _narrow(pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted pairs first * n + second, the words that occur, and the pairs in places among these."""
+    first, second = pairs // _U(n), pairs % _U(n)
+    there = np.zeros(n, bool)
+    there[first] = True
+    there[second] = True
+    place = np.cumsum(there) - 1
+    used = np.flatnonzero(there)
+    return used, place[first].astype(np.uint64) * _U(len(used)) + place[second].astype(np.uint64)
 
-    def __init__(self):
-        self.merged, self.raw, self.loose = merge([]), [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.raw.append(keys)
-        self.loose += len(keys)
-        if self.loose > max(1_000_000, len(self.merged[0])):
-            self.settle()
+class Pairs:
+    """A shard: sorted hashed words, sorted pairs of their places (first * number of words + second), counts."""
 
-    def add_counted(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.merged = into(self.merged, (keys, counts))
+    def __init__(self, words=None, pairs=None, counts=None):
+        self.words = np.empty(0, np.uint64) if words is None else words
+        self.pairs = np.empty(0, np.uint64) if pairs is None else pairs
+        self.counts = np.empty(0, np.int64) if counts is None else counts
 
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.raw:
-            self.merged = into(self.merged, tally(np.concatenate(self.raw)))
-        self.raw, self.loose = [], 0
-        return self.merged
+    @staticmethod
+    def of(blob: bytes) -> Pairs:
+        words, pairs, counts = unsqueeze(blob)[:3]
+        return Pairs(sums(words), sums(pairs), counts.astype(np.int64))
 
+    def blob(self) -> bytes:
+        return squeeze(deltas(self.words), deltas(self.pairs), self.counts)
 
-_BLOBS = "shard int, blob binary"
+    def recoded(self, words: np.ndarray) -> np.ndarray:
+        """The pairs, by their places among other words that hold all of these."""
+        if not len(self.pairs):
+            return self.pairs
+        place = np.searchsorted(words, self.words).astype(np.uint64)
+        n = _U(len(self.words))
+        return place[self.pairs // n] * _U(len(words)) + place[self.pairs % n]
 
+    @staticmethod
+    def merged(parts: list[Pairs]) -> Pairs:
+        words = np.unique(np.concatenate([p.words for p in parts]))
+        pairs = np.concatenate([p.recoded(words) for p in parts])
+        counts = np.concatenate([p.counts for p in parts])
+        order = np.argsort(pairs, kind="stable")
+        pairs, counts = pairs[order], counts[order]
+        first = _starts(pairs)
+        return Pairs(words, pairs[first], np.add.reduceat(counts, first) if len(first) else counts)
 
-def _rows(shards, blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
+# ---- what tasks send
 
-def _send(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    for k in range(shards):
-        if bounds[k] < bounds[k + 1]:
-            own = order[bounds[k] : bounds[k + 1]]
-            yield _rows([k], [pack(keys[own], counts[own])])
 
+def language_key(lang: str) -> np.uint64:
+    return _U(zlib.crc32(lang.encode()) & ((1 << SLOT_BITS) - 1)) << _LOW
 
-def _merge_shards(blobs: DataFrame, shards: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, Gathered()
-        for batch in slices(batches, 16):
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if shard != at:
-                    if at is not None:
-                        yield _rows([at], [pack(*own.settle())])
-                    at, own = shard, Gathered()
-                own.add_counted(*unpack(blob))
-        if at is not None:
-            yield _rows([at], [pack(*own.settle())])
 
-    return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, _BLOBS)
+def keyed(words: np.ndarray, lang: str) -> np.ndarray:
+    """Words with their language: its slot above, a hash of both below."""
+    own = mix64(words ^ mix64(np.array([zlib.crc32(lang.encode()) + (len(lang) << 32)], np.uint64)))
+    return (own >> _U(SLOT_BITS)) | language_key(lang)
 
 
-# ---- vocabulary
+def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(words ^ _U(0xA5A5)) % _U(shards)).astype(np.int64)
 
 
-def vocabularies(docs: DataFrame, shards: int, size: int = VOCABULARY) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """Each language's size most frequent words, as sorted hashes, and its number of other words.
+class Chunk:
+    """Whole documents' words, until there are enough to send."""
 
-    docs: lang, text. Ties go to the smaller hash. The driver gets size rows for each language.
-    """
+    def __init__(self):
+        self.keys: list[int] = []
+        self.texts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, key: int, lang: str, text: bytes) -> None:
+        words = word_hashes(text.lower())
+        if len(words):
+            self.keys.append(key)
+            self.texts.append(keyed(np.concatenate(([_START], words)), lang))
+            self.size += len(words)
+
+    def pairs(self, shards: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """The words, and for each shard its sorted pairs, one for each occurrence, and the documents they are in."""
+        words, places = np.unique(np.concatenate(self.texts), return_inverse=True)
+        n = len(words)
+        sizes = np.array([len(t) for t in self.texts])
+        ends = np.cumsum(sizes)
+        inside = np.ones(len(places), bool)
+        inside[ends - 1] = False
+        first = places[inside]
+        pairs = first.astype(np.uint64) * _U(n) + places[1:][inside[:-1]].astype(np.uint64)
+        owner = shard_of(words, shards)[first]
+        doc = np.repeat(np.arange(len(sizes)), sizes - 1)
+        order = np.lexsort((pairs, owner))  # stable, so documents rise within a pair
+        bounds = np.searchsorted(owner[order], np.arange(shards + 1))
+        return words, [(k, pairs[o], doc[o]) for k in range(shards) if len(o := order[bounds[k] : bounds[k + 1]])]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Chunk]:
+    own = Chunk()
+    for batch in slices(batches):
+        for key, lang, text in zip(batch.column("rk").to_pylist(), batch.column("lang").to_pylist(), byte_texts(batch.column("text")), strict=True):
+            own.add(key, lang, text)
+            if own.size >= size:
+                yield own
+                own = Chunk()
+    if own.size:
+        yield own
+
+
+_MESSAGE = "shard int, salt int, kind int, source int, blob binary"
+
+
+def _message(shard: int, salt: int, kind: int, source: int, blob: bytes) -> pa.RecordBatch:
+    columns = [pa.array([x], pa.int32()) for x in (shard, salt, kind, source)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([blob], pa.binary())], names=["shard", "salt", "kind", "source", "blob"])
+
+
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    for batch in slices(batches, 16):
+        yield from zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "kind", "source", "blob")), strict=True)
+
+
+def _counted(shards: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, size):
+            words, parts = chunk.pairs(shards)
+            for k, pairs, _ in parts:
+                first = _starts(pairs)
+                used, own = _narrow(pairs[first], len(words))
+                yield _message(k, 0, 0, 0, Pairs(words[used], own, np.diff(np.append(first, len(pairs)))).blob())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Gathered] = {}
+    return run
 
-        def sent():
-            for lang, own in found.items():
-                keys, counts = own.settle()
-                for k, blob in ((int(r.column(0)[0].as_py()), r.column(1)[0].as_py()) for r in _send(keys, counts, (keys >> np.uint64(40)) % np.uint64(shards), shards)):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["lang", "shard", "blob"])
 
-        for batch in slices(batches):
-            for lang, _, texts in by_language(batch):
-                found.setdefault(lang, Gathered()).add(np.concatenate(texts))
-            if sum(len(x.merged[0]) for x in found.values()) > FLUSH_KEYS:
-                yield from sent()
-                found.clear()
-        yield from sent()
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, Gathered()
-
-        def best():
-            keys, counts = own.settle()
-            first = np.lexsort((keys, -counts))[:size]
-            n = len(first)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.string()), pa.array(keys[first].view(np.int64)), pa.array(counts[first]), pa.array([len(keys)] + [0] * (n - 1) if n else [], pa.int64())], names=["lang", "word", "n", "types"])
-
-        for batch in slices(batches, 16):
-            for lang, shard, blob in zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "blob")), strict=True):
-                if (lang, shard) != at:
-                    if at is not None:
-                        yield best()
-                    at, own = (lang, shard), Gathered()
-                own.add_counted(*unpack(blob))
-        if at is not None:
-            yield best()
-
-    counted = docs.mapInArrow(count, "lang string, shard int, blob binary")
-    best = counted.repartition(shards, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(top, "lang string, word long, n long, types long")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    types = F.sum("types").over(W.partitionBy("lang"))
-    rows = best.select("lang", "word", rank.alias("rank"), types.alias("types")).where(F.col("rank") <= size).collect()
-    words: dict[str, list[int]] = {}
-    rest: dict[str, int] = {}
-    for r in rows:
-        words.setdefault(r["lang"], []).append(r["word"])
-        rest[r["lang"]] = r["types"]
-    sorted_words = {lang: np.sort(np.array(v, np.int64).view(np.uint64)) for lang, v in words.items()}
-    return sorted_words, {lang: max(1, n - size) for lang, n in rest.items()}
-
-
-def word_ids(texts: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of several texts' words, each text after two marks of its start, and where the words are."""
-    sizes = np.array([len(w) for w in texts])
-    words = np.concatenate(texts)
-    ids = np.full(len(words) + 2 * len(texts), _START, np.uint64)
-    places = np.arange(len(words)) + 2 * np.repeat(np.arange(1, len(texts) + 1), sizes)
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    ids[places] = np.where(vocabulary[at] == words, at + 1, 0)
-    return ids, places
-
-
-def trigram_keys(ids: np.ndarray, places: np.ndarray, language: int) -> np.ndarray:
-    return ((np.uint64(language) * _B + ids[places - 2]) * _B + ids[places - 1]) * _B + ids[places]
-
-
-def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[np.ndarray]]]:
-    """The batch's texts that have words, as hashes, under their language, and their rows."""
-    found: dict[str, tuple[list[int], list[np.ndarray]]] = {}
-    for row, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text")), strict=True)):
-        if len(words := word_hashes(text.lower())):
-            rows, texts = found.setdefault(lang, ([], []))
-            rows.append(row)
-            texts.append(words)
-    return ((lang, *own) for lang, own in found.items())
-
-
-# ---- model
-
-
-@dataclass
-class Model:
-    """Sorted keys and, beside them, probabilities or back-off weights, from trigrams down."""
-
-    languages: dict[str, int]
-    vocabulary: dict[str, np.ndarray]
-    unseen: dict[str, int]
-    keys3: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    p3: np.ndarray = field(default_factory=lambda: np.empty(0))
-    ctx2: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    back2: np.ndarray = field(default_factory=lambda: np.empty(0))
-    keys2: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    p2: np.ndarray = field(default_factory=lambda: np.empty(0))
-    ctx1: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    back1: np.ndarray = field(default_factory=lambda: np.empty(0))
-    p1: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
-
-    def probability(self, keys: np.ndarray) -> np.ndarray:
-        """Of the last word after the two before it, for sorted trigram keys."""
-        language, low = keys // _B**3, keys % _B**2
-        key2 = language * _B**2 + low
-        p = self.p1[language.astype(np.int64), (keys % _B).astype(np.int64)]
-        p = look_up(self.keys2, self.p2, key2, 0.0) + look_up(self.ctx1, self.back1, key2 // _B, 1.0) * p
-        return look_up(self.keys3, self.p3, keys, 0.0) + look_up(self.ctx2, self.back2, keys // _B, 1.0) * p
-
-    def log2p(self, texts: list[np.ndarray], lang: str) -> list[float]:
-        """Each text's mean log2 probability of a word; an unknown word's is its share of all unknown words'."""
-        ids, places = word_ids(texts, self.vocabulary[lang])
-        keys, which = np.unique(trigram_keys(ids, places, self.languages[lang]), return_inverse=True)
-        logs = np.log2(np.maximum(self.probability(keys), 1e-12))[which] - np.where(ids[places] == 0, np.log2(self.unseen[lang]), 0.0)
-        sizes = np.array([len(w) for w in texts])
-        return (np.add.reduceat(logs, np.cumsum(sizes) - sizes) / sizes).tolist()
-
-
-def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    """By binary search; wanted keys in near order keep it within the cache."""
-    if not len(keys):
-        return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, parts, loose = None, [], 0
+    for shard, _, _, _, blob in _messages(batches):
+        if shard != at:
+            if parts:
+                yield _message(at, 0, 0, 0, Pairs.merged(parts).blob())
+            at, parts, loose = shard, [], 0
+        parts.append(Pairs.of(blob))
+        loose += len(parts[-1].pairs)
+        if loose > max(MERGE_PAIRS, len(parts[0].pairs)):
+            parts, loose = [Pairs.merged(parts)], 0
+    if parts:
+        yield _message(at, 0, 0, 0, Pairs.merged(parts).blob())
+
+
+def _dealt(messages: DataFrame, shards: int) -> DataFrame:
+    return messages.repartition(shards, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "source")
+
+
+# ---- counts of counts, discounts, unigrams
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -288,127 +271,211 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.05 * k), 0.95 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
-def _tallies(order: int, languages: int):
-    """Of merged n-grams of an order: for each language n1 to n4, and how many have each count up to 64."""
+_STATS = ["n1", "n2", "n3", "n4", "types", "total"]
+
+
+def _slot_stats(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Of each language's slot: how many counts are 1, 2, 3 and 4, how many there are, and their sum."""
+    slots, at = np.unique((words >> _LOW).astype(np.int64), return_inverse=True)
+    columns = [np.bincount(at[counts == k], minlength=len(slots)) for k in (1, 2, 3, 4)]
+    columns += [np.bincount(at[counts > 0], minlength=len(slots)), np.bincount(at, counts, len(slots)).astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(slots), *(pa.array(c.astype(np.int64)) for c in columns)], names=["slot", *_STATS])
+
+
+def _tallied(rows: DataFrame, run) -> dict[int, np.ndarray]:
+    """At most 2^SLOT_BITS rows for the driver."""
+    found = rows.mapInArrow(run, "slot long, " + ", ".join(f"{c} long" for c in _STATS)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in _STATS))
+    return {r["slot"]: np.array([r[c] for c in _STATS], np.int64) for r in found.collect()}
+
+
+def _pair_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, _, _, blob in _messages(batches):
+        own = Pairs.of(blob)
+        yield _slot_stats(own.words[own.pairs // _U(len(own.words))], own.counts)
+
+
+def _asks(shards: int):
+    """From each shard to the owners of its words: the words, and before how many of the shard's contexts' each stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, _, _, _, blob in _messages(batches):
+            own = Pairs.of(blob)
+            before = np.bincount((own.pairs % _U(len(own.words))).astype(np.int64), minlength=len(own.words))
+            to = shard_of(own.words, shards)
+            for k in np.unique(to).tolist():
+                yield _message(k, 0, 0, shard, squeeze(deltas(own.words[to == k]), before[to == k]))
+
+    return run
+
+
+def _word_owner(answer):
+    """Runs answer(words, continuation counts, asked) for each shard of words; asked: (source, its words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few, histogram = np.zeros((languages, 5), np.int64), np.zeros(65, np.int64)
-        for batch in slices(batches, 1):
-            keys, counts = unpack(batch.column("blob")[0].as_py())
-            language = (keys // _B**order).astype(np.int64)
-            for k in range(1, 5):
-                few[:, k] += np.bincount(language[counts == k], minlength=languages)
-            histogram += np.bincount(np.minimum(counts, 64), minlength=65)
-        counts = np.concatenate([few.ravel(), histogram])
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["k", "n"])
+        at, asked = None, []
+
+        def made():
+            every = np.concatenate([w for _, w, _ in asked])
+            words, place = np.unique(every, return_inverse=True)
+            counts = np.bincount(place, np.concatenate([c for _, _, c in asked]).astype(float), len(words)).astype(np.int64)
+            yield from answer(at, words, counts, [(s, w) for s, w, _ in asked])
+
+        for shard, _, _, source, blob in _messages(batches):
+            if shard != at:
+                if asked:
+                    yield from made()
+                at, asked = shard, []
+            words, before = unsqueeze(blob)
+            asked.append((source, sums(words), before))
+        if asked:
+            yield from made()
 
     return run
 
 
-def _weights(keys: np.ndarray, counts: np.ndarray, order: int, discount: np.ndarray, least: int):
-    """Kept keys and probabilities, and their contexts with the mass left for backing off."""
-    if not len(keys):
-        return keys, np.empty(0), keys, np.empty(0)
-    context = keys // _B
-    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    which = np.cumsum(np.concatenate(([0], context[1:] != context[:-1])))
-    total = np.add.reduceat(counts, first)
-    language = (keys // _B**order).astype(np.int64)
-    p = (counts - discount[language, np.minimum(counts, 3)]) / total[which]
-    p[counts < least] = 0
-    left = np.maximum(1 - np.add.reduceat(p, first), 1e-9)
-    some = np.add.reduceat((counts >= least).astype(np.int64), first) > 0
-    return keys[counts >= least], p[counts >= least], context[first][some], left[some]
-
-
-def _estimate_order(merged: DataFrame, order: int, languages: int, max_ngrams: int):
-    """The arrays of one order. The driver gets max_ngrams entries at most, and one for each context of theirs."""
-    tallied = np.zeros(5 * languages + 65, np.int64)
-    for r in merged.mapInArrow(_tallies(order, languages), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        tallied[r["k"]] = r["n"]  # five numbers for each language, and 65
-    few, histogram = tallied[: 5 * languages].reshape(languages, 5), tallied[5 * languages :]
-    least = next((k for k in range(1, 65) if sum(histogram[k:]) <= max_ngrams), 65)
-    if least > 64:  # so many are frequent that the cut-off needs exact counts
-        def large(batches):
-            for batch in slices(batches, 1):
-                counts = unpack(batch.column("blob")[0].as_py())[1]
-                values, n = np.unique(counts[counts >= 64], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(n, pa.int64())], names=["c", "n"])
-
-        over = W.orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, 0)
-        by_count = merged.mapInArrow(large, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-        cut = by_count.select("c", F.sum("n").over(over).alias("above")).where(F.col("above") <= max_ngrams).agg(F.min("c").alias("c")).first()["c"]
-        least = cut if cut is not None else 2**62
-    discount = np.stack([discounts(few[k, 1:]) for k in range(languages)])
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            arrays = _weights(*unpack(batch.column("blob")[0].as_py()), order, discount, least)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u8" if k % 2 == 0 else "<f4").tobytes()], pa.binary()) for k, x in enumerate(arrays)], names=["k", "p", "c", "b"])
-
-    rows = merged.mapInArrow(weigh, "k binary, p binary, c binary, b binary").collect()
-    arrays = [np.frombuffer(b"".join(r[c] for r in rows), "<u8" if c in "kc" else "<f4") for c in "kpcb"]
-    del rows
-    by_key, by_context = np.argsort(arrays[0]), np.argsort(arrays[2])
-    return arrays[0][by_key], arrays[1][by_key], arrays[2][by_context], arrays[3][by_context]
-
-
-def _continuations(order: int, shards: int):
-    """From merged n-grams, how many different first words each of their ends has, for the shards of the next order."""
+def unigrams(words: np.ndarray, counts: np.ndarray, stats: dict[int, np.ndarray]) -> np.ndarray:
+    """p1 of words by their continuation counts."""
+    slots, at = np.unique((words >> _LOW).astype(np.int64), return_inverse=True)
+    out = np.empty(len(words))
+    for k, slot in enumerate(slots.tolist()):
+        n = stats[slot]
+        d, own = discounts(n[:4]), at == k
+        total, rest = max(1, n[5]), n[4] - n[0] - n[1]
+        back = (d[1] * n[0] + d[2] * n[1] + d[3] * rest) / total
+        c = counts[own]
+        out[own] = (c - d[np.minimum(c, 3)]) / total + back / max(1, n[4])
+    return out
+
+
+# ---- scoring
+
+
+class Shard:
+    """A shard ready to score: contexts' totals and their numbers of pairs that occur once, twice, more often."""
+
+    def __init__(self, blob: bytes, stats: dict[int, np.ndarray]):
+        self.own = Pairs.of(blob)
+        n = len(self.own.words)
+        self.p1 = np.full(n, np.nan)
+        first = (self.own.pairs // _U(max(1, n))).astype(np.int64)
+        c = self.own.counts
+        self.total = np.bincount(first, c, n).astype(np.int64)
+        self.few = np.stack([np.bincount(first[(c == k) if k < 3 else (c >= 3)], minlength=n) for k in (1, 2, 3)])
+        slots, at = np.unique((self.own.words >> _LOW).astype(np.int64), return_inverse=True)
+        by_slot = np.stack([discounts(stats[s][:4]) if s in stats else np.zeros(4) for s in slots.tolist()]) if n else np.zeros((0, 4))
+        self.discount, self.slot = by_slot, at
+
+    def answer(self, words: np.ndarray, p1: np.ndarray) -> None:
+        self.p1[np.searchsorted(self.own.words, words)] = p1
+
+    def bits(self, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a message: its documents' keys, their bits (whole numbers of 1 / SCALE), their numbers of pairs."""
+        words, pairs, docs_each, doc, times, keys = unsqueeze(blob)
+        message = Pairs(sums(words), sums(pairs))
+        pairs = message.recoded(self.own.words)
+        at = np.searchsorted(self.own.pairs, pairs)
+        n = _U(len(self.own.words))
+        each = docs_each.astype(np.int64)
+        v, w = (np.repeat((x).astype(np.int64), each) for x in (pairs // n, pairs % n))
+        c = np.repeat(self.own.counts[at], each)
+        doc, m = doc.astype(np.int64), times.astype(np.int64)
+        rest = c - m
+        d = self.discount[self.slot[v]]
+        _, group = np.unique(doc * len(self.own.words) + v, return_inverse=True)
+        total = self.total[v] - np.bincount(group, m)[group].astype(np.int64)
+        mass = np.zeros(len(m))
+        for k in (1, 2, 3):
+            is_in = lambda x: (x == k) if k < 3 else (x >= 3)  # noqa: B023, E731
+            left = np.bincount(group, is_in(rest).astype(float) - is_in(c).astype(float))[group]
+            mass += d[:, k] * (self.few[k - 1][v] + left)
+        seen = np.maximum(rest - d[np.arange(len(rest)), np.minimum(rest, 3)], 0)
+        p = np.where(total > 0, (seen + mass * self.p1[w]) / np.maximum(total, 1), self.p1[w])
+        q = np.rint(-np.log2(p) * SCALE) * m
+        return keys.view(np.int64), np.bincount(doc, q, len(keys)).astype(np.int64), np.bincount(doc, m, len(keys)).astype(np.int64)
+
+
+def _sent(shards: int, size: int, salts: dict[int, int]):
+    """The documents' pairs, for the shards that own them: pairs, how many documents have each, those documents, how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Gathered()
-        for batch in slices(batches, 1):
-            keys, _ = unpack(batch.column("blob")[0].as_py())
-            language = keys // _B**order
-            own.add(language * _B ** (order - 1) + keys % _B ** (order - 1))
-        keys, counts = own.settle()
-        yield from _send(keys, counts, mix64(keys // _B) % np.uint64(shards), shards)
+        for chunk in _chunks(batches, size):
+            words, parts = chunk.pairs(shards)
+            keys = np.array(chunk.keys, np.int64).view(np.uint64)
+            for k, pairs, doc in parts:
+                entry = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1]))))
+                times = np.diff(np.append(entry, len(pairs)))
+                pairs, doc = pairs[entry], doc[entry]
+                first = _starts(pairs)
+                used, own = _narrow(pairs[first], len(words))
+                there = np.zeros(len(keys), bool)
+                there[doc] = True
+                place = np.cumsum(there) - 1
+                blob = squeeze(deltas(words[used]), deltas(own), np.diff(np.append(first, len(pairs))), place[doc], times, keys[there])
+                yield _message(k, chunk.keys[0] % salts.get(k, 1), 2, 0, blob)
 
     return run
 
 
-def fit(docs: DataFrame, scratch: Scratch, max_ngrams: int = MAX_NGRAMS) -> Model:
-    """docs: lang, text."""
+def _scored(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
+        for k, salt, kind, _, blob in _messages(batches):
+            if kind == 0:
+                at, shard = (k, salt), Shard(blob, shared.value)
+            elif at != (k, salt):
+                raise ValueError(f"no shard {k} before what is sent to it")
+            elif kind == 1:
+                words, p1 = unsqueeze(blob)
+                shard.answer(sums(words), p1.view(np.float64))
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard.bits(blob)], names=["rk", "bits", "n"])
+
+    return run
+
+
+def perplexities(docs: DataFrame, scratch: Scratch, chunk_words: int = CHUNK_WORDS, rounds: int = ROUNDS, shards: int | None = None) -> DataFrame:
+    """docs: rk, lang, text -> rk, bits (in 1 / SCALE), n: of every text with words; equal rows add up."""
     spark = docs.sparkSession
-    shards = max(1, min(MAX_SHARDS, docs.rdd.getNumPartitions()))
-    words, unseen = vocabularies(docs, shards)
-    model = Model({lang: k for k, lang in enumerate(sorted(words))}, words, unseen)
-    if not words:
-        return model
-    shared = spark.sparkContext.broadcast((model.languages, words))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, vocabulary = shared.value
-        own = Gathered()
-        for batch in slices(batches):
-            for lang, _, texts in by_language(batch):
-                own.add(trigram_keys(*word_ids(texts, vocabulary[lang]), languages[lang]))
-            if len(own.merged[0]) > FLUSH_KEYS:
-                keys, counts = own.settle()
-                yield from _send(keys, counts, mix64(keys // _B) % np.uint64(shards), shards)
-                own = Gathered()
-        keys, counts = own.settle()
-        yield from _send(keys, counts, mix64(keys // _B) % np.uint64(shards), shards)
-
-    n = len(words)
-    three = scratch.write(_merge_shards(docs.mapInArrow(count, _BLOBS), shards), "three")
-    model.keys3, model.p3, model.ctx2, model.back2 = _estimate_order(three, 3, n, max_ngrams)
-    two = scratch.write(_merge_shards(three.mapInArrow(_continuations(3, shards), _BLOBS), shards), "two")
-    scratch.drop("three")
-    model.keys2, model.p2, model.ctx1, model.back1 = _estimate_order(two, 2, n, max_ngrams)
-    one = merge([unpack(r["blob"]) for r in _merge_shards(two.mapInArrow(_continuations(2, 1), _BLOBS), 1).collect()])  # VOCABULARY + 1 words a language
-    scratch.drop("two")
-    model.p1 = np.zeros((n, int(_B)))
-    for k in range(n):
-        own = one[0] // _B == k
-        ids, counts = (one[0][own] % _B).astype(np.int64), one[1][own]
-        d = discounts(np.array([(counts == c).sum() for c in range(1, 5)]))
-        p = (counts - d[np.minimum(counts, 3)]) / max(1, counts.sum())
-        model.p1[k] = (1 - p.sum()) / (VOCABULARY + 1)
-        model.p1[k][ids] += p
-    return model
+    shards = shards or max(1, min(MAX_SHARDS, docs.rdd.getNumPartitions() // 2))
+    counted = docs.mapInArrow(_counted(shards, chunk_words), _MESSAGE)
+    pairs = scratch.write(_dealt(counted, shards).mapInArrow(_merged, _MESSAGE), "pairs")
+    release(spark)
+    pair_stats = _tallied(pairs, _pair_stats)
+    asks = scratch.write(pairs.mapInArrow(_asks(shards), _MESSAGE), "asks")
+
+    def tally(_, words, counts, __):
+        yield _slot_stats(words, counts)
+
+    word_stats = _tallied(_dealt(asks, shards), _word_owner(tally))
+
+    def tell(shard, words, counts, asked):
+        p1 = unigrams(words, counts, word_stats)
+        for source, own in asked:
+            yield _message(source, 0, 1, shard, squeeze(deltas(own), p1[np.searchsorted(words, own)].view(np.uint64)))
+
+    answers = scratch.write(_dealt(asks, shards).mapInArrow(_word_owner(tell), _MESSAGE), "answers")
+    scratch.drop("asks")
+
+    def volume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, _, _, _, blob in _messages(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([int(Pairs.of(blob).counts.sum())])], names=["shard", "n"])
+
+    volumes = {r["shard"]: r["n"] for r in pairs.mapInArrow(volume, "shard long, n long").collect()}  # MAX_SHARDS rows at most
+    mean = sum(volumes.values()) / max(1, shards)
+    salts = {k: s for k, n in volumes.items() if (s := int(n // (2 * mean)) + 1) > 1}
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(*(F.when(F.col("shard") == k, s - 1) for k, s in salts.items()), F.lit(0))))
+    model = pairs.unionByName(answers).withColumn("salt", copies).select("shard", "salt", "kind", "source", "blob")
+    shared = spark.sparkContext.broadcast(pair_stats)
+    out = None
+    for k in range(rounds):
+        part = docs.where(F.pmod(F.xxhash64("rk", F.lit(5)), F.lit(rounds)) == k)
+        sent = part.mapInArrow(_sent(shards, chunk_words, salts), _MESSAGE)
+        bits = _dealt(model.unionByName(sent), shards).mapInArrow(_scored(shared), "rk long, bits long, n long")
+        done = scratch.write(bits.groupBy("rk").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n")), f"bits-{k}")
+        out = done if out is None else out.unionByName(done)
+        release(spark)
+    scratch.drop("pairs", "answers")
+    return out
 
 
 # ---- base statistics and verdict
@@ -444,37 +511,41 @@ def base_statistics(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, duplicates, repeated
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, the base statistics, base_failed, log2_ppl (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def base_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, rk, lang, the base statistics, base_failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in slices(batches):
             base = [base_statistics(x) for x in byte_texts(batch.column("text"))]
-            ppl: list[float | None] = [None] * len(base)
-            for lang, rows, texts in by_language(batch):
-                for row, mean in zip(rows, m.log2p(texts, lang), strict=True):
-                    ppl[row] = -mean
             columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
             failed = pa.array([b[0] < MIN_WORDS or 100 * b[4] > MAX_REPEAT_PERCENT * b[0] for b in base], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns, failed, pa.array(ppl, pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log2_ppl"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), batch.column("lang"), *columns, failed], names=["doc_id", "rk", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+
+    return docs.mapInArrow(run, "doc_id long, rk long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+
 
-    return docs.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log2_ppl double")
+def bands(scored: DataFrame) -> DataFrame:
+    """lang, low, mid, high: percentiles 5, 50 and 95 of log2_ppl of the documents that pass the base rules, at a resolution of 1 / BINS."""
+    binned = scored.where("NOT base_failed AND log2_ppl IS NOT NULL").groupBy("lang", F.round(F.col("log2_ppl") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    own = W.partitionBy("lang")  # 64 * BINS rows at most
+    placed = binned.select("lang", "bin", F.sum("n").over(own.orderBy("bin")).alias("upto"), F.sum("n").over(own).alias("all"))
+    at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))) / BINS
+    return placed.groupBy("lang").agg(at(0.05).alias("low"), at(0.5).alias("mid"), at(0.95).alias("high"))
 
 
-def ngram_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
-    """One row per document: doc_id, the base statistics, base_failed, kept, log2_ppl."""
+def ngram_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, chunk_words: int = CHUNK_WORDS, rounds: int = ROUNDS, shards: int | None = None) -> DataFrame:
+    """One row per document: doc_id, the base statistics, base_failed, kept, log2_ppl. The last three parameters bound memory and disk, and change no result."""
     scratch = Scratch(docs.sparkSession, "ngram")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    model = fit(rows.select("lang", "text"), scratch)
-    scored = scratch.write(score(rows, model), "scored")
-    q = F.percentile_approx("log2_ppl", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.lit(10000))
-    bands = scored.where("NOT base_failed").groupBy("lang").agg(q.alias("q"))
-    rows = scored.join(F.broadcast(bands), "lang", "left")  # a row for each language
+    doc_id, lang = F.col("doc_id").cast("long"), F.coalesce("lang", F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, lang, "text").alias("rk"), lang.alias("lang"), "text")
+    found = perplexities(rows.select("rk", "lang", "text"), scratch, chunk_words, rounds, shards)
+    base = base_columns(rows)
+    scored = base.join(found, "rk", "left").withColumn("log2_ppl", F.col("bits") / F.col("n") / SCALE).drop("rk", "bits", "n")
+    scored = scratch.write(scored, "scored")
+    rows = scored.join(bands(scored), "lang", "left")
     wider = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
-    low = F.col("q")[1] - lower * wider * (F.col("q")[1] - F.col("q")[0])
-    high = F.col("q")[1] + upper * wider * (F.col("q")[2] - F.col("q")[1])
+    low = F.col("mid") - lower * wider * (F.col("mid") - F.col("low"))
+    high = F.col("mid") + upper * wider * (F.col("high") - F.col("mid"))
     within = F.coalesce(F.col("log2_ppl").between(low, high), F.lit(True))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"), "log2_ppl")
 
