@@ -17,6 +17,7 @@ packed like any other; special tokens' strings in a text are what the library ma
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -39,8 +40,6 @@ K1, B = 1.2, 0.75
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 COMMON_IDS = 1000  # the first merges of a byte-level vocabulary are its most frequent
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-# Fixed value: the pre-tokenizer of byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def default_tokenizer() -> str:
@@ -49,13 +48,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 class Ids(dict):
     """Word -> its ids, with a prefix put before it, as little-endian bytes. Forgets all when full."""
 
-    def __init__(self, prefix: str, code: str, encoding, room: int, marks: Ids | None = None):
+    def __init__(self, prefix: str, code: str, piece, library, room: int, marks: Ids | None = None):
         super().__init__()
-        self.prefix, self.code, self.room = prefix, code, room
-        self.encode, self.piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
+        self.prefix, self.code, self.piece, self.library, self.room = prefix, code, piece, library, room
         self.marks = self if marks is None else marks
 
     def __missing__(self, word: str) -> bytes:
@@ -63,7 +64,7 @@ class Ids(dict):
         if letters and len(letters) < len(word) and letters[-1].isalpha():  # letters end where marks begin
             return self[letters] + self.marks[word[len(letters) :]]
         part = self.prefix + word
-        ids = array(self.code, self.piece(part.encode()) if word.isalpha() else self.encode(part)).tobytes()  # letters are one part
+        ids = array(self.code, self.piece(part.encode()) if word.isalpha() else self.library(part, add_special_tokens=False).ids).tobytes()  # letters are one part
         if len(word) <= LONGEST_CACHED:
             if len(self) >= self.room:
                 self.clear()
@@ -74,16 +75,19 @@ class Ids(dict):
 class BpeIds:
     """A text's ids, word by word.
 
-    The library's pre-tokenizer never joins a character with a space that follows it, so a text's ids are
-    those of its words, each with the space before it; a single line end between two words is a part by
-    itself. The file's merges are run as ranks by tiktoken, which is faster on short parts; texts with
-    an added token's string go to the library whole.
+    The library's pre-tokenizer never joins a character that isn't white space with a space that follows it, so a
+    text's ids are those of its words, each with the space before it. A single line end between two characters
+    that aren't white space is a part by itself. Where two white space characters meet or others than the space
+    and the line end occur, the text is cut at spaces after words alone. For words of letters the file's merges are run as ranks by tiktoken, which is
+    faster on short parts; all else, and texts with an added token's string, go to the library.
     """
 
     def __init__(self, spec: str, room: int = CACHE_ENTRIES):
         import tiktoken
+        from tokenizers import Tokenizer
 
-        self.spec, self.library = spec, None
+        library = Tokenizer.from_str(spec)
+        self.encode = library.encode
         model = json.loads(spec)
         self.added = [x["content"] for x in model["added_tokens"]]
         self.kind = "<u2" if max(model["model"]["vocab"].values()) < 1 << 16 else "<u4"
@@ -92,45 +96,41 @@ class BpeIds:
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(c): b for b, c in [(b, b) for b in plain] + [(b, 256 + k) for k, b in enumerate(others)]}
         ranks = {bytes(byte_of[c] for c in x): i for x, i in model["model"]["vocab"].items() if x not in self.added}
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bare = Ids("", self.code, encoding, room // 4)
-        self.spaced = Ids(" ", self.code, encoding, room, self.bare)
+        piece = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.bare = Ids("", self.code, piece, library.encode, room // 4)
+        self.spaced = Ids(" ", self.code, piece, library.encode, room, self.bare)
         self.line = self.bare["\n"]
         self.end = np.array([END_ID], self.kind).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """The text's ids, and the end id."""
         if any(x in text for x in self.added):
-            if self.library is None:
-                from tokenizers import Tokenizer
-
-                self.library = Tokenizer.from_str(self.spec)
-            return np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], self.kind)
+            return np.array([*self.encode(text, add_special_tokens=False).ids, END_ID], self.kind)
         return np.frombuffer(b"".join(self.parts(text)) + self.end, self.kind)
 
     def parts(self, text: str) -> list[bytes]:
         if not text:
             return []
         out: list[bytes] = []
-        for line in text.split("\n"):
+        lines = text.split("\n")
+        if "  " in text or " \n" in text or text[-1] == " " or _OTHER_SPACE.search(text) or any(x[:1] in ("", " ") for x in lines[1:]):
+            return list(map(self.bare.__getitem__, cut(text)))
+        for line in lines:
             words = iter(line.split(" "))
-            first = next(words)
-            if not first:
-                return list(map(self.bare.__getitem__, cut(text)))
-            out.append(self.bare[first])
+            out.append(self.bare[next(words)])
             out += map(self.spaced.__getitem__, words)
             out.append(self.line)
         out.pop()
-        return out if "  " not in text and " \n" not in text and text[-1] != " " else list(map(self.bare.__getitem__, cut(text)))
+        return out
 
 
 def cut(text: str) -> list[str]:
-    """A text cut before each space that follows another character than a space."""
+    """A text cut before each space that follows a character that isn't white space."""
     out, run = [], ""
     for k, x in enumerate(text.split(" ")):
-        run += " " if k else ""
-        if x:
-            out.append(run + x)
+        run += " " + x if k else x
+        if x and not x[-1].isspace():
+            out.append(run)
             run = ""
     return [*out, run] if run else out
 
