@@ -2,9 +2,10 @@
 
 No piece of the vocabulary holds a space mark after another character, so no merge crosses from a
 word to the space before the next one: a text's tokens are those of its pre-tokens (a run of spaces
-with what follows up to the next space), each counted alone. The first tier is a broadcast table
-of frequent pre-tokens and their lengths, found by Misra-Gries summaries of every text, one of fixed
-size for each task, merged without any shuffle of pre-tokens. The second tier is a bounded cache in
+with what follows up to the next space), each counted alone. The first tier is a broadcast hash table from
+frequent pre-tokens to their lengths in tokens, FREQUENT entries of LONGEST_CACHED characters at most, encoded once.
+They are found by Misra-Gries summaries of every text, one of fixed size for each task, merged without any
+shuffle of pre-tokens. The second tier is a bounded cache in
 each worker for what it meets besides. Either only saves work; counts are the tokenizer's own.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; texts that contain the space mark
@@ -45,15 +46,15 @@ def pretokens(text: str) -> list[str]:
 
 
 class PieceCounter(dict):
-    """Pre-token -> number of tokens. Starts from the frequent ones and goes back to them when full."""
+    """Pre-token -> number of tokens. Starts from the table of frequent ones and goes back to it when full."""
 
-    def __init__(self, model: bytes, frequent: list[str] = (), room: int = CACHE_ENTRIES):
+    def __init__(self, model: bytes, lengths: dict[str, int] | None = None, room: int = CACHE_ENTRIES):
         import sentencepiece
 
         super().__init__()
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.whole = any(MARK in self.pieces.id_to_piece(i).lstrip(MARK) for i in range(self.pieces.get_piece_size()))
-        self.first = {x: self._count(x) for x in frequent}
+        self.first = lengths or {}
         self.room = room + len(self.first)
         self.update(self.first)
 
@@ -125,11 +126,17 @@ def frequent_pretokens(docs: DataFrame, size: int = FREQUENT) -> list[str]:
     return [x for row in merged for x in row["pretokens"]]
 
 
+def frequent_lengths(model: bytes, pretokens: list[str]) -> dict[str, int]:
+    """The first tier: how many tokens each frequent pre-token has."""
+    counter = PieceCounter(model)
+    return {x: counter[x] for x in pretokens}
+
+
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. The text is read whole."""
     spark = docs.sparkSession
     proto = Path(model or default_model()).read_bytes()
-    shared = spark.sparkContext.broadcast((proto, frequent_pretokens(docs, frequent)))
+    shared = spark.sparkContext.broadcast((proto, frequent_lengths(proto, frequent_pretokens(docs, frequent))))  # FREQUENT short entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(*shared.value)
