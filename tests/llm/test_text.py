@@ -19,7 +19,8 @@ TEXT = st.lists(st.sampled_from(PIECES), max_size=14).map("".join)
 @pytest.fixture(scope="module")
 def pieces():
     with open(token_counts.default_model(), "rb") as f:
-        return token_counts.PieceCounter(f.read(), ["the", "a"], room=50)
+        proto = f.read()
+    return token_counts.PieceCounter(proto, token_counts.frequent_lengths(proto, ["the", "a"]), room=50)
 
 
 @pytest.fixture(scope="module")
