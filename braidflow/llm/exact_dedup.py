@@ -1,11 +1,12 @@
 """Exact dedup: an extendible-hash index on files of the shared folder.
 
-A text's fingerprint is the 64-bit hash of its normalised form (A-Z lower-cased). The directory
-starts with one bucket and doubles while a bucket that still holds several fingerprints is over its
-capacity; the overfull bucket is split by its next bit. Records of repeated fingerprints go, with
-their texts, to the bucket that the directory names; each owner task takes a range of buckets in key
-order, chains the different texts that meet under one fingerprint by comparing their bytes, and
-writes its part of the index. A document then finds its group by fingerprint and chain.
+A text's fingerprint is the 64-bit hash of its normalised form (A-Z lower-cased). The directory starts with one
+bucket and doubles while a bucket that still holds several fingerprints is over a page of BUCKET_BYTES; the
+overfull bucket is split by its next bit, to MAX_DEPTH bits at most, which bounds the directory. Records of repeated
+fingerprints go, with their texts, to the bucket that the directory names. Each owner task takes a range of
+buckets, and so of keys, in key order, chains the different texts that meet under one fingerprint by
+comparing their bytes, and writes its part of the index: for each fingerprint its buckets' chain. A document then
+finds its group by its fingerprint; where a chain has several texts, by the digest of the one that it equals.
 
 Copies are combined before they are dealt out, so that a text that a third of all rows share reaches
 its owner once for each batch read. Fingerprints that occur once need no bucket entry.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from braidflow.llm.common import Scratch, lower_ascii, slices, table
 
-BUCKET_ENTRIES = 100_000
-MAX_DEPTH = 24
+BUCKET_BYTES, ENTRY_BYTES = 32_768, 64
+BUCKET_ENTRIES = BUCKET_BYTES // ENTRY_BYTES
+MAX_DEPTH = 20
 FLUSH_BYTES = 8 << 20
 
 
@@ -46,24 +48,21 @@ def build_directory(keys: DataFrame, capacity: int = BUCKET_ENTRIES, step: int =
     """Doubles the directory until no bucket of several fingerprints is over capacity.
 
     keys has one row per repeated fingerprint. Each round counts only the buckets that were overfull,
-    by the next step bits, so the driver gets a number per bucket and never a key.
+    by the next step bits, so the driver gets a number per bucket, 2^MAX_DEPTH at most, and never a key.
     """
-    total = keys.count()
-    if total <= capacity:
-        return Directory([(0, 0)])
     done: list[tuple[int, int]] = []
     overfull, depth = [(0, 0)], 0
     while overfull and depth < MAX_DEPTH:
-        depth += step
+        before, depth = depth, min(depth + step, MAX_DEPTH)
         prefix = F.shiftrightunsigned("key", 64 - depth)
         kept = keys
-        if depth > step:
+        if overfull != [(0, 0)]:
             parents = keys.sparkSession.createDataFrame([(p,) for _, p in overfull], "parent long")
-            kept = keys.withColumn("parent", F.shiftrightunsigned("key", 64 - depth + step)).join(F.broadcast(parents), "parent", "left_semi")
+            kept = keys.withColumn("parent", F.shiftrightunsigned("key", 64 - before)).join(F.broadcast(parents), "parent", "left_semi")
         counts = {r["p"]: r["n"] for r in kept.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
         again = []
         for _, parent in overfull:
-            stack = [(depth - step, parent)]
+            stack = [(before, parent)]
             while stack:
                 d, p = stack.pop()
                 low, high = p << (depth - d), (p + 1) << (depth - d)
@@ -116,10 +115,10 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, chain, out = None, {}, []
 
     def entries():
-        return [(at[0], at[1], k, hashlib.sha256(body.encode()).hexdigest(), v[0], v[1]) for k, (body, v) in enumerate(chain.items())]
+        return [(at[0], at[1], k, len(chain), hashlib.sha256(body.encode()).hexdigest(), v[0], v[1]) for k, (body, v) in enumerate(chain.items())]
 
     def made():
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "key", "chain", "text_sha256", "n", "keep_id"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "key", "chain", "chains", "text_sha256", "n", "keep_id"])
 
     for batch in slices(batches, 256):
         for bucket, key, body, n, doc_id in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "body", "n", "keep_id")), strict=True):
@@ -143,15 +142,17 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame, digests: DataFrame, scratch: Scratch, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The index files: bucket, key, chain, text_sha256, n, keep_id for every fingerprint that repeats."""
+    """The index files: bucket, key, place in the chain, its length, text_sha256, n, keep_id for every fingerprint that repeats."""
     repeated = scratch.write(digests.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     directory = build_directory(repeated, capacity)
     body = lower_ascii(F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body")).withColumn("key", F.xxhash64("body"))
     rows = rows.join(repeated.select("key"), "key", "left_semi").select("key", "body", "doc_id")
     records = rows.mapInArrow(_combine(directory), "bucket int, key long, body string, n long, keep_id long")
-    owned = records.repartition("bucket", F.shiftrightunsigned("key", 64 - MAX_DEPTH)).sortWithinPartitions("bucket", "key")
-    index = owned.mapInArrow(_own, "bucket int, key long, chain int, text_sha256 string, n long, keep_id long")
+    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owner = (F.col("bucket").cast("long") * owners / len(directory.prefixes)).cast("int")  # ranges of buckets, so of keys
+    owned = records.repartitionById(owners, owner).sortWithinPartitions("bucket", "key")
+    index = owned.mapInArrow(_own, "bucket int, key long, chain int, chains int, text_sha256 string, n long, keep_id long")
     return scratch.write(index, "index")
 
 
@@ -163,8 +164,8 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "exact")
     body = lower_ascii(F.coalesce("text", F.lit("")))
     digests = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), F.unhex(F.sha2(body, 256)).alias("sha")), "digests")
-    index = build_index(docs, digests, scratch, capacity).select("key", F.unhex("text_sha256").alias("sha"), "n", "keep_id")
-    found = digests.join(index, ["key", "sha"], "left")
+    index = build_index(docs, digests, scratch, capacity).select("key", "chains", F.unhex("text_sha256").alias("of"), "n", "keep_id")
+    found = digests.join(index, (digests["key"] == index["key"]) & ((index["chains"] == 1) | (digests["sha"] == index["of"])), "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -122,55 +122,6 @@ def test_ngram_quality(odd, none):
     assert ngram_quality.ngram_quality(none).count() == 0
 
 
-def test_kneser_ney_by_hand(spark):
-    """Trigram probabilities against a plain implementation, and that they add up to one."""
-    from braidflow.llm.common import Scratch, word_hashes
-
-    texts = [prose(k, 60).replace("\n", " ") for k in range(30)]
-    docs = spark.createDataFrame([("x", t) for t in texts], "lang string, text string").repartition(3)
-    model = ngram_quality.fit(docs, Scratch(spark, "t"))
-    three = Counter(g for t in texts for w in [["<", "<", *t.split()]] for g in zip(w, w[1:], w[2:]))
-    two = Counter((b, c) for _, b, c in three)
-    one = Counter(c for _, c in two)
-
-    def discount(counts):
-        n = Counter(counts.values())
-        return ngram_quality.discounts(np.array([n[k] for k in (1, 2, 3, 4)]))
-
-    d3, d2, d1 = discount(three), discount(two), discount(one)
-
-    def p1(c):
-        m = sum(one.values())
-        left = 1 - sum((x - d1[min(x, 3)]) / m for x in one.values())
-        return ((one[c] - d1[min(one[c], 3)]) / m if c in one else 0) + left / (ngram_quality.VOCABULARY + 1)
-
-    def lower(counts, d, context, word, rest):
-        own = {g: x for g, x in counts.items() if g[:-1] == context}
-        if not own:
-            return rest
-        total = sum(own.values())
-        kept = sum((x - d[min(x, 3)]) / total for x in own.values())
-        x = own.get((*context, word), 0)
-        return ((x - d[min(x, 3)]) / total if x else 0) + (1 - kept) * rest
-
-    sentence = texts[3].split()[:25]
-    padded = ["<", "<", *sentence]
-    want = [np.log2(lower(three, d3, (a, b), c, lower(two, d2, (b,), c, p1(c)))) for a, b, c in zip(padded, padded[1:], padded[2:])]
-    got = model.log2p([word_hashes(" ".join(sentence).encode())], "x")[0]
-    assert abs(got - np.mean(want)) < 1e-5
-
-
-def test_counts_pack_and_merge():
-    rng = np.random.default_rng(0)
-    a, b = (ngram_quality.tally(rng.integers(0, 500, 400).astype(np.uint64)) for _ in range(2))
-    keys, counts = ngram_quality.unpack(ngram_quality.pack(*a))
-    assert np.array_equal(keys, a[0]) and np.array_equal(counts, a[1])
-    both = ngram_quality.into(a, b)
-    assert Counter(dict(zip(*(x.tolist() for x in both)))) == Counter(dict(zip(*(x.tolist() for x in a)))) + Counter(dict(zip(*(x.tolist() for x in b))))  # noqa: B905
-    plain = ngram_quality.merge([a, b])
-    assert np.array_equal(both[0], plain[0]) and np.array_equal(both[1], plain[1])
-
-
 def test_quality_on_held_out_documents(spark):
     junk = lambda k: " ".join(x + "$$$***"[k % 4 :] for x in prose(k, 80).split())
     rows = [document(k, prose(k, 100) if k % 3 else junk(k)) for k in range(400)]
