@@ -1,18 +1,20 @@
 """Quality classifier: how much better a dictionary of good text compresses a document than one of bad text.
 
-Two raw zstandard dictionaries are cut from labelled good and bad documents. A text is compressed
-block by block, so that all of it counts and none of it becomes its own dictionary: once with each
-dictionary and once with none. From the sizes come the normalised difference (bad - good) / (bad +
-good) and the log ratio of the plain size to the length, which tells repetition. A logistic curve
-fitted on other labelled documents than those in the dictionaries turns them into a score, weighted
-so that it is calibrated to the share of good labels among all that may be learned from.
-
-The model is fitted on a bounded sample of labelled rows (SAMPLE_PER_CLASS of each class with the
-smallest hashes of their ids, SAMPLE_BYTES of each text at most); scoring reads whole texts.
-
-Defined cases: a null text counts as empty and gets the score of its (empty) blocks; a document
-without doc_id is not held out and not learned from; of several labels of a document the largest
-counts; without labels of both classes every score is the share of good ones, 0.5 without any.
+Two raw zstandard dictionaries are cut from labelled good and bad documents, one piece of each from a place
+that its id's hash names, anywhere in the whole text. A text is compressed whole, block by block, so that none of it
+becomes its own dictionary: once with each dictionary. The difference of the two compressed sizes, divided by
+the text's length, is the only input of the score: a logistic curve, fitted on the whole texts of other labelled
+documents than those in the dictionaries and weighted so that it is calibrated to the share of good labels among
+all that may be learned from.
+
+The model is fitted on a bounded sample of labelled rows: SAMPLE_PER_CLASS of each class, those with the
+smallest hashes of their ids. The executors read the sample's texts; the driver gets PIECE_BYTES of each document
+of one half and a number of each of the other.
+
+Defined cases: a null text counts as empty, and its difference is zero; a document
+without doc_id is not held out and not learned from; of several texts of a doc_id the largest is learned from; of
+several labels of a document the largest counts; without labels of both classes there is no curve: every score is
+the share of good ones, 0.5 without any, and keep_good, which has no ground to reject a document, keeps all.
 """
 
 from __future__ import annotations
@@ -30,53 +32,46 @@ from pyspark.sql import functions as F
 from braidflow.llm.common import byte_texts, slices, table
 
 SAMPLE_PER_CLASS = 2000
-SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 262_144
 PIECE_BYTES = 400
-BLOCK_BYTES = 1024
+BLOCK_BYTES = 64
 LEVEL = 3
 THRESHOLD = 0.7
-FRAME_BYTES = 6
 
 
 @dataclass(frozen=True)
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]  # intercept, difference, repetition
+    weights: tuple[float, ...]  # intercept, difference
     prior: float = 0.5
 
 
-def sizes(model: QualityModel) -> Callable[[bytes], tuple[float, float]]:
-    """A function from a text's bytes to its two features."""
+def difference(good: bytes, bad: bytes) -> Callable[[bytes], float]:
+    """A function from a text's bytes to its compressed size with the bad dictionary less that with the good one, by its length."""
     import zstandard
 
     def compressor(content: bytes):
-        if not content:
-            return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         made.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    good, bad, plain = (compressor(x).compress for x in (model.good, model.bad, b""))
+    by_good, by_bad = compressor(good), compressor(bad)
 
-    def features(text: bytes) -> tuple[float, float]:
-        blocks = [text[at : at + BLOCK_BYTES] for at in range(0, max(1, len(text)), BLOCK_BYTES)]
-        over = FRAME_BYTES * len(blocks)
-        g, b, p = (max(1, sum(len(f(x)) for x in blocks) - over) for f in (good, bad, plain))
-        return (b - g) / (b + g), math.log(p / max(1, len(text)))
+    def measure(text: bytes) -> float:
+        blocks = [text[at : at + BLOCK_BYTES] for at in range(0, len(text), BLOCK_BYTES)]
+        return (sum(map(len, map(by_bad, blocks))) - sum(map(len, map(by_good, blocks)))) / max(1, len(text))
 
-    return features
+    return measure
 
 
 def scorer(model: QualityModel) -> Callable[[bytes], float]:
     if not model.weights:
         return lambda text: model.prior
-    features, (w0, w1, w2) = sizes(model), model.weights
+    measure, (w0, w1) = difference(model.good, model.bad), model.weights
 
     def score(text: bytes) -> float:
-        difference, repetition = features(text)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, w0 + w1 * difference + w2 * repetition))))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, w0 + w1 * measure(text)))))
 
     return score
 
@@ -109,29 +104,33 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         return QualityModel(b"", b"", (), prior)
     order = F.xxhash64("doc_id", F.lit(7))
     chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class) for q in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1])  # at most 2 * per_class short rows
+    ids = chosen[0].unionByName(chosen[1]).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)))  # at most 2 * per_class short rows
     rows = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    sample = rows.select("doc_id", "quality", F.substring("text", 1, SAMPLE_BYTES).alias("text")).dropDuplicates(["doc_id"]).collect()
-    sample.sort(key=lambda r: hash((r["doc_id"] * 2654435761) % 2**32))
-    texts = {q: [r["text"].encode() for r in sample if r["quality"] == q] for q in (0, 1)}
-    parts: dict[int, list[bytes]] = {0: [], 1: []}
-    rest: dict[int, list[bytes]] = {0: [], 1: []}
-    for q, own in texts.items():
-        room = DICTIONARY_BYTES
-        for k, text in enumerate(own):
-            if room > 0 and k < len(own) // 2:
-                parts[q].append(text[:PIECE_BYTES])
-                room -= PIECE_BYTES
-            else:
-                rest[q].append(text)
-    if not rest[0] or not rest[1]:
+    sample = rows.groupBy("doc_id", "quality", "half").agg(F.max("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            places = zip(byte_texts(batch.column("text")), batch.column("doc_id").to_pylist(), strict=True)
+            pieces = [x[(at := did * 2654435761 % 2**32 % max(1, len(x) - PIECE_BYTES + 1)) : at + PIECE_BYTES] for x, did in places]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(pieces, pa.binary())], names=["doc_id", "quality", "piece"])
+
+    pieces = sample.where("half = 0").mapInArrow(cut, "doc_id long, quality int, piece binary").collect()
+    pieces.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    bad, good = (b"".join(r["piece"] for r in pieces if r["quality"] == q)[:DICTIONARY_BYTES] for q in (0, 1))
+    if not good or not bad:
         return QualityModel(b"", b"", (), prior)
-    model = QualityModel(b"".join(parts[1]), b"".join(parts[0]), ())
-    features = sizes(model)
-    x = np.array([features(t) for q in (0, 1) for t in rest[q]])
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    weight = np.where(y == 1, prior / len(rest[1]), (1 - prior) / len(rest[0])) * len(y)
-    return QualityModel(model.good, model.bad, _logistic(x, y, weight), prior)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = difference(good, bad)
+        for batch in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([measure(x) for x in byte_texts(batch.column("text"))], pa.float64())], names=["doc_id", "quality", "x"])
+
+    found = sorted(sample.where("half = 1").mapInArrow(measured, "doc_id long, quality int, x double").collect())
+    x, y = np.array([[r["x"]] for r in found]), np.array([float(r["quality"]) for r in found])
+    if len(set(y.tolist())) < 2:
+        return QualityModel(b"", b"", (), prior)
+    weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum()) * len(y)
+    return QualityModel(good, bad, _logistic(x, y, weight), prior)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,7 +148,9 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
+    """The documents whose score reaches the threshold, with all their columns; all of them where the model has no curve."""
+    if not model.weights:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
