@@ -50,7 +50,7 @@ from braidflow.llm.common import _SPACE, Scratch, byte_texts, mix64, release, sl
 CHUNK_WORDS = 4_000_000
 MERGE_PAIRS = 8_000_000
 MAX_SHARDS = 4096
-ROUNDS = 3
+ROUNDS = 4
 SLOT_BITS = 16
 SCALE = 1 << 20
 BINS = 1000
@@ -353,10 +353,10 @@ def unigrams(words: np.ndarray, counts: np.ndarray, stats: dict[int, np.ndarray]
 class Shard:
     """A shard ready to score: contexts' totals and their numbers of pairs that occur once, twice, more often."""
 
-    def __init__(self, blob: bytes, stats: dict[int, np.ndarray]):
+    def __init__(self, blob: bytes, stats: dict[int, np.ndarray], word_stats: dict[int, np.ndarray], shards: int):
         self.own = Pairs.of(blob)
         n = len(self.own.words)
-        self.p1 = np.full(n, np.nan)
+        self.p1, self.word_stats, self.owner = np.full(n, np.nan), word_stats, shard_of(self.own.words, shards)
         first = (self.own.pairs // _U(max(1, n))).astype(np.int64)
         c = self.own.counts
         self.total = np.bincount(first, c, n).astype(np.int64)
@@ -365,8 +365,10 @@ class Shard:
         by_slot = np.stack([discounts(stats[s][:4]) if s in stats else np.zeros(4) for s in slots.tolist()]) if n else np.zeros((0, 4))
         self.discount, self.slot = by_slot, at
 
-    def answer(self, words: np.ndarray, p1: np.ndarray) -> None:
-        self.p1[np.searchsorted(self.own.words, words)] = p1
+    def answer(self, owner: int, counts: np.ndarray) -> None:
+        """The continuation counts of the shard's words that the owner has, in their order."""
+        at = self.owner == owner
+        self.p1[at] = unigrams(self.own.words[at], counts, self.word_stats)
 
     def bits(self, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a message: its documents' keys, their bits (whole numbers of 1 / SCALE), their numbers of pairs."""
@@ -416,17 +418,16 @@ def _sent(shards: int, size: int, salts: dict[int, int]):
     return run
 
 
-def _scored(shared):
+def _scored(shared, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
-        for k, salt, kind, _, blob in _messages(batches):
+        for k, salt, kind, source, blob in _messages(batches):
             if kind == 0:
-                at, shard = (k, salt), Shard(blob, shared.value)
+                at, shard = (k, salt), Shard(blob, *shared.value, shards)
             elif at != (k, salt):
                 raise ValueError(f"no shard {k} before what is sent to it")
             elif kind == 1:
-                words, p1 = unsqueeze(blob)
-                shard.answer(sums(words), p1.view(np.float64))
+                shard.answer(source, unsqueeze(blob)[0].astype(np.int64))
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard.bits(blob)], names=["rk", "bits", "n"])
 
@@ -439,6 +440,7 @@ def perplexities(docs: DataFrame, scratch: Scratch, chunk_words: int = CHUNK_WOR
     shards = shards or max(1, min(MAX_SHARDS, docs.rdd.getNumPartitions() // 2))
     counted = docs.mapInArrow(_counted(shards, chunk_words), _MESSAGE)
     pairs = scratch.write(_dealt(counted, shards).mapInArrow(_merged, _MESSAGE), "pairs")
+    del counted
     release(spark)
     pair_stats = _tallied(pairs, _pair_stats)
     asks = scratch.write(pairs.mapInArrow(_asks(shards), _MESSAGE), "asks")
@@ -449,9 +451,8 @@ def perplexities(docs: DataFrame, scratch: Scratch, chunk_words: int = CHUNK_WOR
     word_stats = _tallied(_dealt(asks, shards), _word_owner(tally))
 
     def tell(shard, words, counts, asked):
-        p1 = unigrams(words, counts, word_stats)
         for source, own in asked:
-            yield _message(source, 0, 1, shard, squeeze(deltas(own), p1[np.searchsorted(words, own)].view(np.uint64)))
+            yield _message(source, 0, 1, shard, squeeze(counts[np.searchsorted(words, own)]))
 
     answers = scratch.write(_dealt(asks, shards).mapInArrow(_word_owner(tell), _MESSAGE), "answers")
     scratch.drop("asks")
@@ -465,14 +466,15 @@ def perplexities(docs: DataFrame, scratch: Scratch, chunk_words: int = CHUNK_WOR
     salts = {k: s for k, n in volumes.items() if (s := int(n // (2 * mean)) + 1) > 1}
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(*(F.when(F.col("shard") == k, s - 1) for k, s in salts.items()), F.lit(0))))
     model = pairs.unionByName(answers).withColumn("salt", copies).select("shard", "salt", "kind", "source", "blob")
-    shared = spark.sparkContext.broadcast(pair_stats)
+    shared = spark.sparkContext.broadcast((pair_stats, word_stats))
     out = None
     for k in range(rounds):
         part = docs.where(F.pmod(F.xxhash64("rk", F.lit(5)), F.lit(rounds)) == k)
         sent = part.mapInArrow(_sent(shards, chunk_words, salts), _MESSAGE)
-        bits = _dealt(model.unionByName(sent), shards).mapInArrow(_scored(shared), "rk long, bits long, n long")
+        bits = _dealt(model.unionByName(sent), shards).mapInArrow(_scored(shared, shards), "rk long, bits long, n long")
         done = scratch.write(bits.groupBy("rk").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n")), f"bits-{k}")
         out = done if out is None else out.unionByName(done)
+        del part, sent, bits
         release(spark)
     scratch.drop("pairs", "answers")
     return out
