@@ -2,11 +2,13 @@
 
 A page is read once into flat blocks of text between block-level tags. Each has its word count, its
 link density, those of its neighbours, and what its open elements say of it. A small decision tree,
-trained at start on the labelled table below, tells the main text from the rest.
+trained at start on the labelled table below, tells the main text from the rest; no feature decides by itself. A
+class, id or role counts as a hint if one of its names is made of the words of HINTS and FRAMES alone and has
+one of HINTS: "comment-list" does, "related-work" doesn't.
 
-Defined cases: a null or empty page gives an empty text; a tag that is never closed is dropped with
-what follows it; markup errors and unknown elements are read as browsers do where that is simple;
-repeated pages each get their row; other columns do not matter.
+Defined cases: a null or empty page gives an empty text; a tag that is never closed (or a quoted value in it) is
+dropped with what follows it; values without quotes may hold quotes; markup errors and unknown elements are read as
+browsers do where that is simple; repeated pages each get their row; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from braidflow.llm.common import slices, table
 # Elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul video audio canvas".split())
-RAW = set("script style title textarea iframe noembed noframes noscript xmp template svg math object".split())
+RAW = set("script style title textarea iframe noembed noframes noscript xmp template svg object".split())
 BOILERPLATE = set("nav footer aside form menu dialog select button head".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id or role that tell what a container holds.
@@ -32,10 +34,13 @@ HINTS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead toolbar comment comments reply replies respond discussion disqus share sharing social related recommended newsletter subscribe subscription signup login search pager pagination copyright skip toc hidden".split()
 )
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>")
+# Words that say no more than that something is a container.
+FRAMES = set("box block wrapper wrap container list area section inner outer item items bar site page main global top bottom left right posts post articles links link button buttons form text title policy message slot unit col column row panel body thread entry secondary primary holder group content user reader latest more icons icon module placeholder".split())
+
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 _OTHER = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boilerplate", "hinted", "in_article", "page_has_article", "heading")
@@ -135,6 +140,10 @@ LABELLED = """
 1 1.0 30 0.0 40 0.0 0 0 0 0 0 0
 6 1.0 40 0.0 33 0.0 0 0 0 0 0 0
 3 0.0 1 1.0 1 1.0 0 0 0 0 0 0
+3 0.0 46 0.0 24 0.0 0 0 0 0 0 1
+5 0.0 22 0.0 23 0.0 0 0 0 0 0 1
+2 0.0 70 0.0 18 0.0 0 0 0 0 0 1
+24 0.0 3 0.0 2 1.0 0 0 0 0 0 1
 """
 
 
@@ -169,11 +178,15 @@ def classify(tree, block: tuple) -> int:
 
 
 def _hinted(attributes: str) -> bool:
-    if _HIDDEN.search(attributes):
-        return True
-    for found in _NAMED.findall(attributes):
-        if any(x.lower() in HINTS for x in _PART.findall("".join(found))):
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "style" and _NONE.search(value):
             return True
+        if name in ("class", "id", "role"):
+            for x in value.split():
+                parts = {w.lower() for w in _PART.findall(x)}
+                if parts & HINTS and parts <= HINTS | FRAMES:
+                    return True
     return False
 
 
@@ -241,7 +254,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
                     break
             continue
         if name in RAW and not attributes.endswith("/"):
-            if name in ("textarea", "iframe", "object", "svg", "math"):
+            if name in ("textarea", "iframe", "object", "svg"):
                 say(" ")
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
