@@ -1,8 +1,8 @@
 """Mixing sources to target weights by soft membership.
 
 1. A labelled table (doc_id, domain) and the texts of its documents give a word model of each domain:
-   hashed words, smoothed counts. It is fitted on a bounded sample (SAMPLE_DOCS labelled documents with
-   the smallest hashes of their ids, SAMPLE_BYTES of each at most).
+   hashed words, smoothed counts. It is fitted on the whole texts of a bounded sample, the SAMPLE_DOCS labelled
+   documents with the smallest hashes of their ids; the executors count, the driver gets BUCKETS counts a domain.
 2. Every document is read whole, BLOCK words at a time; each block has a posterior over domains, and the
    document's is their mean by words. So a text of two domains belongs to both.
 3. Nonnegative rates r minimise, by projected gradient, the squared relative misses of the expected
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from braidflow.llm.common import Scratch, byte_texts, fresh, slices, table, word_hashes
 
 SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 16_384
 BUCKETS = 1 << 16
 BLOCK = 32
 SMOOTHING = 0.1
@@ -59,17 +58,28 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Dom
     """labelled: doc_id, domain. Of several labels of a document the least counts."""
     known = labelled.selectExpr("CAST(doc_id AS LONG) AS doc_id", "domain").where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(SAMPLE_DOCS)
-    rows = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").join(F.broadcast(known), "doc_id")  # SAMPLE_DOCS short rows
-    sample = rows.select("doc_id", "domain", F.substring("text", 1, SAMPLE_BYTES).alias("text")).dropDuplicates(["doc_id"]).collect()
-    found = sorted({r["domain"] for r in sample})
-    if not found:
+    rows = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").join(F.broadcast(known), "doc_id")  # SAMPLE_DOCS short rows; of several texts of a doc_id the largest
+    sample = rows.groupBy("doc_id", "domain").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(domains), BUCKETS + 1), np.int64)  # the last is the number of documents
+        for batch in slices(batches, 64):
+            for domain, text in zip(batch.column("domain").to_pylist(), byte_texts(batch.column("text")), strict=True):
+                k = domains.index(domain)
+                counts[k, :BUCKETS] += np.bincount(_buckets(text), minlength=BUCKETS)
+                counts[k, BUCKETS] += 1
+        k, bucket = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(counts[k, bucket])], names=["k", "bucket", "n"])
+
+    counts = np.zeros((len(domains), BUCKETS + 1))
+    for r in sample.select("domain", "text").mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["k"], r["bucket"]] = r["n"]  # BUCKETS + 1 numbers a domain
+    number = counts[:, BUCKETS]
+    found = np.flatnonzero(number)
+    if not len(found):
         return None
-    counts, number = np.full((BUCKETS, len(found)), SMOOTHING), np.zeros(len(found))
-    for r in sample:
-        k = found.index(r["domain"])
-        number[k] += 1
-        np.add.at(counts[:, k], _buckets((r["text"] or "").encode()), 1)
-    return DomainModel(tuple(found), number / number.sum(), np.log(counts / counts.sum(0)))
+    words = counts[found, :BUCKETS].T + SMOOTHING
+    return DomainModel(tuple(domains[k] for k in found), number[found] / number.sum(), np.log(words / words.sum(0)))
 
 
 def posterior(model: DomainModel, text: bytes) -> tuple[int, np.ndarray]:
