@@ -47,13 +47,13 @@ from pyspark.sql import functions as F
 
 from braidflow.llm.common import _SPACE, Scratch, byte_texts, mix64, release, slices, table, word_hashes
 
-CHUNK_WORDS = 4_000_000
-MERGE_PAIRS = 8_000_000
+CHUNK_WORDS = 2_500_000
+MERGE_PAIRS = 4_000_000
 MAX_SHARDS = 4096
 ROUNDS = 4
 SLOT_BITS = 16
 SCALE = 1 << 20
-BINS = 1000
+BINS = 100
 LOWER, UPPER = 3.5, 1.8
 SHORT = 100
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -217,17 +217,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Chunk]:
         yield own
 
 
-_MESSAGE = "shard int, salt int, kind int, source int, blob binary"
+_MESSAGE = "owner int, kind int, source long, blob binary"
 
 
-def _message(shard: int, salt: int, kind: int, source: int, blob: bytes) -> pa.RecordBatch:
-    columns = [pa.array([x], pa.int32()) for x in (shard, salt, kind, source)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([blob], pa.binary())], names=["shard", "salt", "kind", "source", "blob"])
+def _message(owner: int, kind: int, source: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([kind], pa.int32()), pa.array([source], pa.int64()), pa.array([blob], pa.binary())], names=["owner", "kind", "source", "blob"])
 
 
-def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
     for batch in slices(batches, 16):
-        yield from zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "kind", "source", "blob")), strict=True)
+        yield from zip(*(batch.column(c).to_pylist() for c in ("owner", "kind", "source", "blob")), strict=True)
 
 
 def _counted(shards: int, size: int):
@@ -237,28 +236,29 @@ def _counted(shards: int, size: int):
             for k, pairs, _ in parts:
                 first = _starts(pairs)
                 used, own = _narrow(pairs[first], len(words))
-                yield _message(k, 0, 0, 0, Pairs(words[used], own, np.diff(np.append(first, len(pairs)))).blob())
+                yield _message(k, 0, 0, Pairs(words[used], own, np.diff(np.append(first, len(pairs)))).blob())
 
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, parts, loose = None, [], 0
-    for shard, _, _, _, blob in _messages(batches):
+    for shard, _, _, blob in _messages(batches):
         if shard != at:
             if parts:
-                yield _message(at, 0, 0, 0, Pairs.merged(parts).blob())
+                yield _message(at, 0, 0, Pairs.merged(parts).blob())
             at, parts, loose = shard, [], 0
         parts.append(Pairs.of(blob))
         loose += len(parts[-1].pairs)
         if loose > max(MERGE_PAIRS, len(parts[0].pairs)):
             parts, loose = [Pairs.merged(parts)], 0
     if parts:
-        yield _message(at, 0, 0, 0, Pairs.merged(parts).blob())
+        yield _message(at, 0, 0, Pairs.merged(parts).blob())
 
 
-def _dealt(messages: DataFrame, shards: int) -> DataFrame:
-    return messages.repartition(shards, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "source")
+def _dealt(messages: DataFrame, owners: int) -> DataFrame:
+    """Every owner's messages to a task of its own, in order."""
+    return messages.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner", "kind", "source")
 
 
 # ---- counts of counts, discounts, unigrams
@@ -289,7 +289,7 @@ def _tallied(rows: DataFrame, run) -> dict[int, np.ndarray]:
 
 
 def _pair_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, _, _, blob in _messages(batches):
+    for _, _, _, blob in _messages(batches):
         own = Pairs.of(blob)
         yield _slot_stats(own.words[own.pairs // _U(len(own.words))], own.counts)
 
@@ -298,12 +298,12 @@ def _asks(shards: int):
     """From each shard to the owners of its words: the words, and before how many of the shard's contexts' each stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, _, _, _, blob in _messages(batches):
+        for shard, _, _, blob in _messages(batches):
             own = Pairs.of(blob)
             before = np.bincount((own.pairs % _U(len(own.words))).astype(np.int64), minlength=len(own.words))
             to = shard_of(own.words, shards)
             for k in np.unique(to).tolist():
-                yield _message(k, 0, 0, shard, squeeze(deltas(own.words[to == k]), before[to == k]))
+                yield _message(k, 0, shard, squeeze(deltas(own.words[to == k]), before[to == k]))
 
     return run
 
@@ -320,7 +320,7 @@ def _word_owner(answer):
             counts = np.bincount(place, np.concatenate([c for _, _, c in asked]).astype(float), len(words)).astype(np.int64)
             yield from answer(at, words, counts, [(s, w) for s, w, _ in asked])
 
-        for shard, _, _, source, blob in _messages(batches):
+        for shard, _, source, blob in _messages(batches):
             if shard != at:
                 if asked:
                     yield from made()
@@ -370,8 +370,8 @@ class Shard:
         at = self.owner == owner
         self.p1[at] = unigrams(self.own.words[at], counts, self.word_stats)
 
-    def bits(self, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a message: its documents' keys, their bits (whole numbers of 1 / SCALE), their numbers of pairs."""
+    def bits(self, blob: bytes) -> bytes:
+        """Of a message: its documents' places, their bits (whole numbers of 1 / SCALE), their numbers of pairs, and the keys that came with it."""
         words, pairs, docs_each, doc, times, keys = unsqueeze(blob)
         message = Pairs(sums(words), sums(pairs))
         pairs = message.recoded(self.own.words)
@@ -393,27 +393,31 @@ class Shard:
         seen = np.maximum(rest - d[np.arange(len(rest)), np.minimum(rest, 3)], 0)
         p = np.where(total > 0, (seen + mass * self.p1[w]) / np.maximum(total, 1), self.p1[w])
         q = np.rint(-np.log2(p) * SCALE) * m
-        return keys.view(np.int64), np.bincount(doc, q, len(keys)).astype(np.int64), np.bincount(doc, m, len(keys)).astype(np.int64)
+        there, at = np.unique(doc, return_inverse=True)
+        return squeeze(there, np.bincount(at, q).astype(np.int64), np.bincount(at, m).astype(np.int64), keys)
 
 
-def _sent(shards: int, size: int, salts: dict[int, int]):
-    """The documents' pairs, for the shards that own them: pairs, how many documents have each, those documents, how often."""
+def _sent(shards: int, size: int, extra: dict[int, tuple[int, int]]):
+    """The documents' pairs, for the shards that own them: pairs, how many documents have each, those documents, how often.
+
+    The first message of a chunk brings its documents' keys. extra: of a copied shard its first further owner and their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, size):
             words, parts = chunk.pairs(shards)
             keys = np.array(chunk.keys, np.int64).view(np.uint64)
+            source = int(mix64(keys + np.arange(len(keys), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
             for k, pairs, doc in parts:
                 entry = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1]))))
                 times = np.diff(np.append(entry, len(pairs)))
                 pairs, doc = pairs[entry], doc[entry]
                 first = _starts(pairs)
                 used, own = _narrow(pairs[first], len(words))
-                there = np.zeros(len(keys), bool)
-                there[doc] = True
-                place = np.cumsum(there) - 1
-                blob = squeeze(deltas(words[used]), deltas(own), np.diff(np.append(first, len(pairs))), place[doc], times, keys[there])
-                yield _message(k, chunk.keys[0] % salts.get(k, 1), 2, 0, blob)
+                at, n = extra.get(k, (0, 0))
+                copy = source % (n + 1)
+                yield _message(at + copy - 1 if copy else k, 2, source, squeeze(deltas(words[used]), deltas(own), np.diff(np.append(first, len(pairs))), doc, times, keys))
+                keys = keys[:0]
 
     return run
 
@@ -421,19 +425,41 @@ def _sent(shards: int, size: int, salts: dict[int, int]):
 def _scored(shared, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
-        for k, salt, kind, source, blob in _messages(batches):
+        for owner, kind, source, blob in _messages(batches):
             if kind == 0:
-                at, shard = (k, salt), Shard(blob, *shared.value, shards)
-            elif at != (k, salt):
-                raise ValueError(f"no shard {k} before what is sent to it")
+                at, shard = owner, Shard(blob, *shared.value, shards)
+            elif at != owner:
+                raise ValueError(f"no shard at {owner} before what is sent to it")
             elif kind == 1:
                 shard.answer(source, unsqueeze(blob)[0].astype(np.int64))
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard.bits(blob)], names=["rk", "bits", "n"])
+                yield _message(owner, 3, source, shard.bits(blob))
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's documents, from what all shards answered."""
+    at, parts = None, []
+
+    def made() -> pa.RecordBatch:
+        keys = next(p[3] for p in parts if len(p[3])).view(np.int64)
+        bits, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for there, b, m, _ in parts:
+            bits[there.astype(np.int64)] += b.astype(np.int64)
+            n[there.astype(np.int64)] += m.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, bits, n)], names=["rk", "bits", "n"])
+
+    for _, _, source, blob in _messages(batches):
+        if source != at:
+            if parts:
+                yield made()
+            at, parts = source, []
+        parts.append(unsqueeze(blob))
+    if parts:
+        yield made()
+
+
 def perplexities(docs: DataFrame, scratch: Scratch, chunk_words: int = CHUNK_WORDS, rounds: int = ROUNDS, shards: int | None = None) -> DataFrame:
     """docs: rk, lang, text -> rk, bits (in 1 / SCALE), n: of every text with words; equal rows add up."""
     spark = docs.sparkSession
@@ -452,32 +478,39 @@ def perplexities(docs: DataFrame, scratch: Scratch, chunk_words: int = CHUNK_WOR
 
     def tell(shard, words, counts, asked):
         for source, own in asked:
-            yield _message(source, 0, 1, shard, squeeze(counts[np.searchsorted(words, own)]))
+            yield _message(source, 1, shard, squeeze(counts[np.searchsorted(words, own)]))
 
     answers = scratch.write(_dealt(asks, shards).mapInArrow(_word_owner(tell), _MESSAGE), "answers")
     scratch.drop("asks")
 
     def volume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, _, _, _, blob in _messages(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([int(Pairs.of(blob).counts.sum())])], names=["shard", "n"])
+        for shard, _, _, blob in _messages(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([int(Pairs.of(blob).counts.sum())])], names=["shard", "n"])
 
     volumes = {r["shard"]: r["n"] for r in pairs.mapInArrow(volume, "shard long, n long").collect()}  # MAX_SHARDS rows at most
     mean = sum(volumes.values()) / max(1, shards)
-    salts = {k: s for k, n in volumes.items() if (s := int(n // (2 * mean)) + 1) > 1}
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(*(F.when(F.col("shard") == k, s - 1) for k, s in salts.items()), F.lit(0))))
-    model = pairs.unionByName(answers).withColumn("salt", copies).select("shard", "salt", "kind", "source", "blob")
+    owners, extra = shards, {}
+    for k, n in sorted(volumes.items()):
+        if more := int(n // (2 * mean)):
+            extra[k] = (owners, more)
+            owners += more
+    model = pairs.unionByName(answers)
+    if extra:
+        to = F.coalesce(*(F.when(F.col("owner") == k, F.array(F.lit(k), *(F.lit(at + j) for j in range(n)))) for k, (at, n) in extra.items()), F.array("owner"))
+        model = model.withColumn("owner", F.explode(to))
     shared = spark.sparkContext.broadcast((pair_stats, word_stats))
     out = None
     for k in range(rounds):
         part = docs.where(F.pmod(F.xxhash64("rk", F.lit(5)), F.lit(rounds)) == k)
-        sent = part.mapInArrow(_sent(shards, chunk_words, salts), _MESSAGE)
-        bits = _dealt(model.unionByName(sent), shards).mapInArrow(_scored(shared, shards), "rk long, bits long, n long")
-        done = scratch.write(bits.groupBy("rk").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n")), f"bits-{k}")
+        sent = part.mapInArrow(_sent(shards, chunk_words, extra), _MESSAGE)
+        answered = _dealt(model.unionByName(sent), owners).mapInArrow(_scored(shared, shards), _MESSAGE)
+        added = answered.repartition("source").sortWithinPartitions("source").mapInArrow(_added, "rk long, bits long, n long")
+        done = scratch.write(added, f"bits-{k}")
         out = done if out is None else out.unionByName(done)
-        del part, sent, bits
+        del part, sent, answered, added
         release(spark)
     scratch.drop("pairs", "answers")
-    return out
+    return out.groupBy("rk").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
 
 
 # ---- base statistics and verdict
@@ -544,7 +577,7 @@ def ngram_quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, c
     base = base_columns(rows)
     scored = base.join(found, "rk", "left").withColumn("log2_ppl", F.col("bits") / F.col("n") / SCALE).drop("rk", "bits", "n")
     scored = scratch.write(scored, "scored")
-    rows = scored.join(bands(scored), "lang", "left")
+    rows = scored.join(scratch.write(bands(scored), "bands"), "lang", "left")  # its size decides how it is joined
     wider = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
     low = F.col("mid") - lower * wider * (F.col("mid") - F.col("low"))
     high = F.col("mid") + upper * wider * (F.col("high") - F.col("mid"))
