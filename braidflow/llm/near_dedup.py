@@ -181,7 +181,7 @@ def _confirm_group(percent: int):
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and rk, the row's key. percent: the least similarity of a link."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and rk, the row's key, and root, its group's (null without words). percent: the least similarity of a link."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rk"), "text")
     sig = scratch.write(rows.mapInArrow(_signatures(bands_for(percent)), "doc_id long, rk long, cid long, n_shingles long, bands array<long>"), "signatures")
@@ -205,19 +205,24 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     placed = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_doc", F.coalesce("root", "cid").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component"))
-    ids = placed.join(least, "root").select("cid", "component")
+    ids = placed.join(least, "root").select("cid", "component", "root")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     out = sig.select("doc_id", "rk", "n_shingles", "cid").join(ids, "cid", "left")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rk")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rk", "root")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
+    """One row of each group, with all its columns, also where rows repeat or have no doc_id; documents without words all stay."""
     (rk,) = fresh(docs.columns, "rk")
-    stay = near_dedup(docs, percent).where("kept").select(F.col("rk").alias(rk)).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    return docs.join(stay, key == F.col(rk), "left_semi")
+    kept = near_dedup(docs, percent).where("kept")
+    rows = kept.groupBy("root", "rk").agg(F.count("*").alias("n"))
+    chosen = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("rk", "n")).alias("x")).select("x.rk", "x.n")
+    stay = Scratch(docs.sparkSession, "stay").write(chosen.unionByName(rows.where("root IS NULL").select("rk", F.lit(1).cast("long").alias("n"))), "stay").withColumnRenamed("rk", rk)
+    once = docs.join(stay.where("n = 1").select(rk), key == F.col(rk), "left_semi")
+    again = docs.withColumn(rk, key).join(stay.where("n > 1").select(rk), rk, "left_semi").dropDuplicates([rk]).select(*docs.columns)
+    return once.unionByName(again)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).drop("rk")
+    return near_dedup(table(spark, sf_dir, "documents")).drop("rk", "root")

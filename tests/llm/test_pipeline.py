@@ -1,10 +1,12 @@
 """The pipeline's stages on odd documents, each against its own operator."""
 
+from collections import Counter
+
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from braidflow.llm import line_dedup, near_dedup, quality_classifier
+from braidflow.llm import line_dedup, mixing, near_dedup, packing, quality_classifier
 
 
 @pytest.fixture(scope="module")
@@ -26,9 +28,32 @@ def test_stages(spark, folder):
     second = stages["line dedup"](spark, docs, folder)
     assert key(second) == key(line_dedup.line_dedup(docs).where("n_lines = 0 OR n_removed_lines < n_lines"))
     third = stages["near dedup"](spark, docs, folder)
-    kept = near_dedup.near_dedup(docs).where("kept")
-    assert third.count() == kept.count() and third.columns == docs.columns
-    assert stages["mixing"](spark, docs, folder).columns == docs.columns
+    kept = near_dedup.near_dedup(docs, corpus_pipeline.NEAR_PERCENT).where("kept").collect()
+    assert third.count() == len({r["root"] for r in kept if r["root"] is not None}) + sum(r["root"] is None for r in kept)
+    assert third.columns == docs.columns and third.where("doc_id = 12").count() == 1
+    fourth = stages["mixing"](spark, docs, folder)
+    rates = mixing.mix(docs, mixing.language_labels(docs, spark.read.parquet(f"{folder}/labels.parquet")), mixing.TARGETS)
+    want = Counter()
+    for r in rates.collect():
+        want[r["doc_id"]] += r["copies"]
+    assert fourth.columns == docs.columns and Counter(r["doc_id"] for r in fourth.collect()) == +want
+    last = stages["packing"](spark, docs, folder).collect()
+    whole = {}
+    for r in last:
+        whole.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r["length"])
+    assert sum(map(sum, whole.values())) == sum(r["length"] for r in packing.pack(docs).collect()) and len({k for k, _ in whole}) == docs.select("doc_id").distinct().count()
+
+
+def test_without_labels_and_on_empty_tables(spark, folder, odd, none, labels, tmp_path):
+    for name, docs, known in (("unlabelled", odd, labels.limit(0)), ("empty", none, labels)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/unlabelled/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality classifier"](spark, docs, f"{tmp_path}/unlabelled").count() == docs.count()
+    assert stages["mixing"](spark, docs, f"{tmp_path}/unlabelled").count() == docs.count()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/unlabelled").count() > 0
 
 
 def test_run(spark, folder):
