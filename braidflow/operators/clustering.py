@@ -5,6 +5,9 @@ points within eps of each other, numbered by their first core point; another poi
 cluster that has a core point within eps of it, or is noise (-1). Equal vectors are one vertex with a
 multiplicity, and core points of one small cell (whose diagonal is under eps) are one vertex of the graph,
 so dense regions don't make an edge for each pair.
+
+Squares of distances are compared, with a relative tolerance of TOLERANCE: a radius that is itself a distance
+between two points holds both, whatever the last bits of an engine's sums.
 """
 
 from __future__ import annotations
@@ -12,67 +15,80 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidflow.functions.vectors import sqdist
+from braidflow.functions.vectors import doubles, sqdist
 from braidflow.operators.graph import connected_components
 from braidflow.shared import Scratch
 
 GRID_DIMS = 3
-#: Pools are capped before clustering; the searches below that hold a pool in memory check this bound.
-MAX_POOL = 1_000_000
+TOLERANCE = 1e-9
+PAIR_BLOCK = 512
+HELD_DISTANCES = 100_000
+BINS = 4096
 
 
-def _cell(v: Column, side: float, dims: int) -> Column:
-    return F.array(*(F.floor(v[k] / F.lit(side)) for k in range(dims)))
+def _cell(v: Column, side: float, places: list[int]) -> Column:
+    return F.array(*(F.floor(v[k] / F.lit(side)) for k in places))
 
 
 def _within(v: Column, w: Column, eps: float, strict: bool) -> Column:
     d = sqdist(v, w)
-    return d < eps * eps if strict else d <= eps * eps
+    return d < eps * eps * (1 - TOLERANCE) if strict else d <= eps * eps * (1 + TOLERANCE)
+
 
+def grid_places(points: DataFrame, dims: int) -> list[int]:
+    """The places in which the vectors vary most, GRID_DIMS at most: those that tell cells apart best."""
+    if dims <= GRID_DIMS:
+        return list(range(dims))
+    row = points.agg(*(F.var_pop(F.col("v")[k]).alias(f"s{k}") for k in range(dims))).first()
+    return sorted(sorted(range(dims), key=lambda k: (-(row[f"s{k}"] or 0.0), k))[:GRID_DIMS])
 
-def near_pairs(left: DataFrame, right: DataFrame, eps: float, dims: int, strict: bool = False) -> DataFrame:
+
+def near_pairs(left: DataFrame, right: DataFrame, eps: float, places: list[int], strict: bool = False) -> DataFrame:
     """Rows of left and right (each with v, and other columns under different names) within eps of each other.
 
-    An equi-join on grid cells of side eps: each left row looks into its own and the neighbouring cells.
+    An equi-join on grid cells of side eps, in the given places of the vectors: each left row looks into its own
+    and the neighbouring cells.
     """
-    k = min(dims, GRID_DIMS)
-    steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=k)))
-    spread = left.withColumn("_step", F.explode(steps)).withColumn("_cell", F.zip_with(_cell(F.col("v"), eps, k), "_step", lambda a, b: a + b)).drop("_step")
-    there = right.withColumnRenamed("v", "_v").withColumn("_cell", _cell(F.col("_v"), eps, k))
+    side = eps * (1 + 2 * TOLERANCE)
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(places))))
+    spread = left.withColumn("_step", F.explode(steps)).withColumn("_cell", F.zip_with(_cell(F.col("v"), side, places), "_step", lambda a, b: a + b)).drop("_step")
+    there = right.withColumnRenamed("v", "_v").withColumn("_cell", _cell(F.col("_v"), side, places))
     return spread.join(there, "_cell").where(_within(F.col("v"), F.col("_v"), eps, strict)).drop("_cell")
 
 
-def neighbour_counts(points: DataFrame, eps: float, dims: int, strict: bool = False, count_self: bool = True) -> DataFrame:
+def neighbour_counts(points: DataFrame, eps: float, dims: int, strict: bool = False, count_self: bool = True, places: list[int] | None = None) -> DataFrame:
     """points: id, v -> distinct vectors with first (their least id), m (how many), n (neighbours)."""
+    places = places or grid_places(points, dims)
     distinct = points.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("m"))
-    found = near_pairs(distinct, distinct.select("v", F.col("m").alias("_m")), eps, dims, strict)
-    n = found.groupBy("first").agg(F.sum("_m").alias("n"))
+    found = near_pairs(distinct.select("v", "first", "m"), distinct.select("v", F.col("m").alias("_m")), eps, places, strict)
     own = 0 if count_self else 1
-    return distinct.join(n, "first").select("v", "first", "m", (F.col("n") - own).alias("n"))
+    return found.groupBy("first").agg(F.first("v").alias("v"), F.first("m").alias("m"), (F.sum("_m") - own).alias("n")).select("v", "first", "m", "n")
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, dims: int, strict: bool = False, count_self: bool = True) -> DataFrame:
-    """points: id, v -> id, cluster_id, core."""
+def dbscan(points: DataFrame, eps: float, min_samples: int, dims: int, strict: bool = False, count_self: bool = True, stored: bool = False) -> DataFrame:
+    """points: id, v -> id, cluster_id, core. stored: the points are read from a table, so that they needn't be written."""
     scratch = Scratch(points.sparkSession, "dbscan")
-    points = scratch.write(points.select("id", "v"), "points")
+    points = points.select("id", "v") if stored else scratch.write(points.select("id", "v"), "points")
+    places = grid_places(points, dims)
     side = eps / dims**0.5 * (1 - 1e-9)
-    counted = neighbour_counts(points, eps, dims, strict, count_self).withColumn("core", F.col("n") >= min_samples)
-    counted = counted.withColumn("box", _cell(F.col("v"), side, dims))
-    reps = counted.where("core").groupBy("box").agg(F.min("first").alias("rep"))
-    counted = scratch.write(counted.join(reps, "box", "left").select("v", "first", "core", F.when(F.col("core"), F.col("rep")).alias("rep")), "counted")
+    counted = neighbour_counts(points, eps, dims, strict, count_self, places).withColumn("core", F.col("n") >= min_samples)
+    box = F.xxhash64(_cell(F.col("v"), side, list(range(dims))))
+    counted = scratch.write(counted.select("v", "first", "core", F.when(F.col("core"), box).alias("rep")), "counted")
 
     cores = counted.where("core").select("v", F.col("rep").alias("_rep"))
-    links = near_pairs(counted.select("v", "first", "core", "rep"), cores, eps, dims, strict)
+    links = near_pairs(counted.select("v", "first", "core", "rep"), cores, eps, places, strict)
     links = scratch.write(links.select(F.when(F.col("core"), F.col("rep")).otherwise(F.col("first")).alias("a"), "core", F.col("_rep").alias("b")).distinct(), "links")
     joined = connected_components(links.where("core").select("a", "b"), scratch, "cores")
-    roots = counted.where("core").select(F.col("rep").alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    numbers = roots.select("root").distinct().select("root", (F.row_number().over(W.orderBy("root")) - 1).cast("int").alias("cluster_id"))  # a row for each cluster
-    clusters = scratch.write(roots.join(numbers, "root").select("node", "cluster_id"), "clusters")
+    nodes = counted.where("core").groupBy(F.col("rep").alias("node")).agg(F.min("first").alias("least"))
+    roots = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    of_root = roots.groupBy("root").agg(F.min("least").alias("least"))
+    numbers = of_root.select("root", (F.row_number().over(W.orderBy("least")) - 1).cast("int").alias("cluster_id"))  # a row for each cluster
+    clusters = roots.join(numbers, "root").select("node", "cluster_id")
 
     of_core = counted.where("core").join(clusters, counted["rep"] == clusters["node"]).select("first", "cluster_id")
     border = links.where("NOT core").join(clusters, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster_id").alias("cluster_id")).select(F.col("a").alias("first"), "cluster_id")
@@ -80,67 +96,131 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, dims: int, strict: b
     return points.join(found, "v").select("id", "cluster_id", "core")
 
 
-def _bounded(points: DataFrame, column: str = "v") -> np.ndarray:
-    rows = points.select(column).limit(MAX_POOL + 1).toPandas()
-    if len(rows) > MAX_POOL:
-        raise ValueError(f"a pool of over {MAX_POOL} points; cap it first")
-    return np.stack(rows[column].to_numpy()) if len(rows) else np.zeros((0, 1))
+def cluster_counts(clustered: DataFrame) -> DataFrame:
+    """cluster_id -> one row: how many clusters, how many noise points."""
+    return clustered.agg(F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"), F.count_if(F.col("cluster_id") < 0).alias("n_noise"))
 
 
-def kth_distances(points: DataFrame, k: int) -> DataFrame:
-    """points: id, v -> id, kdist: the distance to the k-th nearest point, itself the first.
+def kth_distances(points: DataFrame, k: int, dims: int) -> DataFrame:
+    """points: id, v -> id, kdist, and kdist2, its square: the distance to the k-th nearest point, itself the first.
 
-    The pool is broadcast, after a check of its size; each task takes its own rows by matrix products.
+    Where there are fewer points, k is their number less one, and one at least. The points within a radius are
+    found as near_pairs finds them, and the radius doubles for points that have fewer than k so near.
     """
-    pool = points.sparkSession.sparkContext.broadcast(_bounded(points))
-    k = min(k, max(1, len(pool.value) - 1))
-
-    def run(batches):
-        p = pool.value
-        norms = (p * p).sum(1)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                x = np.stack(part["v"].to_numpy())
-                near = np.argpartition((x * x).sum(1)[:, None] + norms - 2 * x @ p.T, k - 1, axis=1)[:, : k + 1]
-                d = np.sort(np.sqrt(((x[:, None, :] - p[near]) ** 2).sum(2)), axis=1)[:, k - 1]
-                yield pd.DataFrame({"id": part["id"], "kdist": d})
-
-    return points.select("id", "v").mapInPandas(run, "id long, kdist double")
+    scratch = Scratch(points.sparkSession, "kth")
+    points = scratch.write(points.select("id", "v"), "points")
+    places = grid_places(points, dims)
+    size = points.agg(F.count("*").alias("n"), *(F.var_pop(F.col("v")[p]).alias(f"s{p}") for p in range(dims)), *(F.max(F.abs(F.col("v")[p])).alias(f"m{p}") for p in range(dims))).first()
+    n = size["n"]
+    k = min(k, max(1, n - 1))
+    extent = 2 * sum((size[f"m{p}"] or 0.0) ** 2 for p in range(dims)) ** 0.5
+    eps = max(sum(size[f"s{p}"] or 0.0 for p in range(dims)) ** 0.5 * (k / max(n, 1)) ** (1 / max(1, min(dims, 4))), extent * 2.0**-40, 1e-300)
+    todo, parts, round_ = points, [], 0
+    while True:
+        found = near_pairs(todo, points.select("v"), eps, places).select("id", sqdist(F.col("v"), F.col("_v")).alias("d2"))
+        ranked = found.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("d2"))).where(F.col("rn") == k)
+        done = scratch.write(ranked.select("id", F.sqrt("d2").alias("kdist"), F.col("d2").alias("kdist2")), f"done-{round_}")
+        parts.append(done)
+        todo = scratch.write(todo.join(done, "id", "left_anti"), f"todo-{round_}")
+        if eps > 2 * extent or todo.isEmpty():
+            break
+        eps, round_ = 2 * eps, round_ + 1
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def knee_radius(kdists: DataFrame) -> DataFrame:
     """kdists: kdist -> eps: the knee of the sorted curve.
 
     The curve's first 90 % (4 points at least) is scaled to the unit square; the first point that lies
-    furthest under the diagonal is the knee, moved into the 10th to the 87th percentile.
+    furthest under the diagonal is the knee, moved into the 10th to the 87th percentile. Points are ranked by
+    ranges of their distance: counts of ranges are added up, and a point's rank is its range's offset and its place in it.
     """
-    ranked = kdists.select("kdist", (F.row_number().over(W.orderBy("kdist")) - 1).alias("i"))  # a capped pool
-    n = kdists.agg(F.count("*").alias("n"))
-    cut = ranked.crossJoin(F.broadcast(n)).withColumn("clip", F.greatest(F.lit(4), F.floor(F.col("n") * 0.9)).cast("int"))
-    whole = W.partitionBy()
-    cut = cut.withColumn("v0", F.min("kdist").over(whole)).withColumn("vn", F.max(F.when(F.col("i") == F.col("clip") - 1, F.col("kdist"))).over(whole))
-    cut = cut.withColumn("deviation", F.col("i") / (F.col("clip") - 1) - (F.col("kdist") - F.col("v0")) / (F.col("vn") - F.col("v0") + 1e-9))
-    knee = cut.where("i < clip").agg(F.max_by("i", F.struct("deviation", -F.col("i"))).alias("knee"), F.first("n").alias("n"))
-    at = knee.select(F.greatest(F.floor(F.col("n") / 10), F.least("knee", F.floor(F.col("n") * 0.87))).alias("at"))
+    span = kdists.agg(F.min("kdist").alias("v0"), F.max("kdist").alias("v9"), F.count("*").alias("n")).first()
+    if not span["n"]:
+        return kdists.sparkSession.createDataFrame([], "eps double")
+    width = max((span["v9"] - span["v0"]) / BINS, 1e-300)
+    rows = kdists.select("kdist", F.least(F.floor((F.col("kdist") - span["v0"]) / width), F.lit(BINS)).alias("bin"))
+    counts = rows.groupBy("bin").agg(F.count("*").alias("c"))
+    offsets = counts.select("bin", (F.sum("c").over(W.orderBy("bin")) - F.col("c")).alias("before"))  # BINS + 1 rows at most
+    own = F.row_number().over(W.partitionBy("bin").orderBy("kdist")) - 1
+    ranked = rows.withColumn("own", own).join(offsets, "bin").select("kdist", (F.col("before") + F.col("own")).alias("i"))
+    n = span["n"]
+    clip = max(4, int(n * 0.9))
+    vn = F.max(F.when(F.col("i") == clip - 1, F.col("kdist")))
+    ends = ranked.agg(vn.alias("vn"))
+    deviation = F.col("i") / (clip - 1) - (F.col("kdist") - span["v0"]) / (F.col("vn") - span["v0"] + 1e-9)
+    knee = ranked.where(F.col("i") < clip).crossJoin(F.broadcast(ends)).agg(F.max_by("i", F.struct(deviation, -F.col("i"))).alias("knee"))  # one row
+    at = knee.select(F.greatest(F.lit(n // 10), F.least("knee", F.floor(F.lit(n) * 0.87))).alias("at"))
     return ranked.join(F.broadcast(at), F.col("i") == F.col("at")).select(F.col("kdist").alias("eps"))
 
 
+def _pair_distances(points: DataFrame, n: int, reduce, schema: str) -> DataFrame:
+    """reduce(distances) over the blocks of all pairs of points: a group for each pair of blocks of PAIR_BLOCK points or so."""
+    blocks = -(-n // PAIR_BLOCK)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = points.select("id", "v", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        v, own = np.array(group.column("v").to_pylist()), group.column("own").to_numpy()
+        first, last = own.min(), own.max()
+        if first == last and group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            d = [np.empty(0)]
+        elif first == last:
+            d = [np.sqrt(((v[k + 1 :] - v[k]) ** 2).sum(1)) for k in range(len(v) - 1)] or [np.empty(0)]
+        else:
+            d = [np.sqrt(((v[own == last] - x) ** 2).sum(1)) for x in v[own == first]]
+        return reduce(np.concatenate(d))
+
+    return dealt.groupBy("i", "j").applyInArrow(run, schema)
+
+
 def percentile_radius(points: DataFrame, share: float = 0.3, default: float = 1.0, floor: float = 1e-6) -> float:
     """The share's percentile of all distances between two points, with linear interpolation.
 
-    One request's rows: the pool is checked against SMALL_POOL, because all its distances are held.
+    The definition asks for all pairs, so the work grows with their number. Nothing but counts of BINS ranges
+    and, once the range that holds the percentile has few distances, these come to the driver.
     """
-    x = _bounded(points)
-    if len(x) > SMALL_POOL:
-        raise ValueError(f"a request of over {SMALL_POOL} points")
-    if len(x) < 2:
+    scratch = Scratch(points.sparkSession, "percentile")
+    points = scratch.write(points.select("id", doubles("v").alias("v")), "points")
+    n = points.count()
+    pairs = n * (n - 1) // 2
+    if not pairs:
         return max(default, floor)
-    d = np.concatenate([np.sqrt(((x[k + 1 :] - x[k]) ** 2).sum(1)) for k in range(len(x) - 1)])
-    return max(float(np.percentile(d, 100 * share)), floor)
-
-
-SMALL_POOL = 5_000
+    at = (pairs - 1) * share
+    low_rank, low, high, below, inside = int(at), 0.0, float("inf"), 0, pairs
+    top = None
+    while inside > HELD_DISTANCES:
+        if top is None:
+            top = _pair_distances(points, n, lambda d: pa.table({"x": [float(d.max()) if len(d) else 0.0]}), "x double").agg(F.max("x")).first()[0]
+            high = top * (1 + 1e-12)
+        edges = np.linspace(low, high, BINS + 1)
+        if not (np.diff(edges) > 0).all():
+            break  # as good as equal
+
+        def count(d: np.ndarray, edges=edges) -> pa.Table:
+            c = np.histogram(d, edges)[0]
+            some = np.flatnonzero(c)
+            return pa.table({"k": pa.array(some, pa.int64()), "c": pa.array(c[some], pa.int64())})
+
+        counts = np.zeros(BINS, np.int64)
+        for r in _pair_distances(points, n, count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+            counts[r["k"]] = r["c"]  # BINS rows at most
+        upto = below + np.cumsum(counts)
+        first, last = int(np.searchsorted(upto, low_rank, "right")), int(np.searchsorted(upto, min(low_rank + 1, pairs - 1), "right"))
+        below, inside = int(upto[first] - counts[first]), int(counts[first : last + 1].sum())
+        low, high = float(edges[first]), float(edges[last + 1])
+
+    def within(d: np.ndarray, low=low, high=high) -> pa.Table:
+        return pa.table({"x": d[(d >= low) & (d <= high)]})
+
+    found = np.sort(np.array([r["x"] for r in _pair_distances(points, n, within, "x double").collect()]))
+    a = found[low_rank - below]
+    b = found[min(low_rank + 1 - below, len(found) - 1)]
+    return max(float(a + (b - a) * (at - low_rank)), floor)
 
 
 def nearest_centroid(points: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from braidflow.functions.vectors import literal, sqdist
 from braidflow.operators import scoring
 from braidflow.operators.clustering import dbscan, kth_distances, knee_radius
+from braidflow.operators.prep import first_rows, random_rows
 from braidflow.operators.taxonomy import HOLDOUT, NORMAL, NOVEL, TRAINED, UNKNOWN
 from braidflow.shared import Scratch
 
@@ -81,8 +82,7 @@ def pool(routed: DataFrame, profile: Profile) -> DataFrame:
     """The rows to cluster: all holdout rows, then the uncertain ones up to the profile's cap, with id and v."""
     held = routed.where("route = 'holdout'")
     unsure = routed.where("route = 'uncertain'")
-    order = [(F.col("row_id") * 2654435761 + 42) % 4294967296, F.col("row_id")] if profile.random_cap else [F.col("row_id")]
-    unsure = unsure.orderBy(*order).limit(profile.cap)
+    unsure = random_rows(unsure, "row_id", profile.cap) if profile.random_cap else first_rows(unsure, "row_id", profile.cap)
     both = held.withColumn("anchor", F.lit(True)).unionByName(unsure.withColumn("anchor", F.lit(False)))
     # anchors come first in the order that numbers clusters; row ids stay under 2^61
     return both.select("row_id", "label", "pred", "anchor", (F.col("row_id") + F.when(F.col("anchor"), 0).otherwise(1 << 61)).alias("id"), space(profile).alias("v"))
@@ -134,13 +134,13 @@ def label_clusters(clustered: DataFrame, normal: list[float] | None, profile: Pr
     return stats.join(majority, "cluster_id", "left").select("cluster_id", "size", "anchors", "centroid", F.coalesce("majority", other).cast("int").alias("cluster_label"))
 
 
-def cluster_pool(pooled: DataFrame, profile: Profile, eps: float | None = None) -> DataFrame:
-    """Adds cluster_id. eps: in place of the profile's."""
+def cluster_pool(pooled: DataFrame, profile: Profile, eps: float | None = None, stored: bool = False) -> DataFrame:
+    """Adds cluster_id. eps: in place of the profile's. stored: pooled is read from a table."""
     eps = eps or profile.eps
     if eps is None:
-        found = knee_radius(kth_distances(pooled, profile.min_samples)).first()
+        found = knee_radius(kth_distances(pooled, profile.min_samples, profile.dims)).first()
         eps = found["eps"] if found and found["eps"] else 1e-9
-    found = dbscan(pooled, eps, profile.min_samples, profile.dims, profile.strict, profile.count_self)
+    found = dbscan(pooled, eps, profile.min_samples, profile.dims, profile.strict, profile.count_self, stored)
     return pooled.join(found.select("id", "cluster_id"), "id")
 
 
@@ -149,7 +149,7 @@ def evaluate(scored: DataFrame, profile: Profile, eps: float | None = None) -> D
     scratch = Scratch(scored.sparkSession, "hybrid")
     routed = scratch.write(route(judge(scored, profile), profile).select("row_id", "label", "scores", "votes", "margins", "pred", "conf", "route"), "routed")
     pooled = scratch.write(pool(routed, profile), "pool")
-    clustered = scratch.write(cluster_pool(pooled, profile, eps), "clustered")
+    clustered = scratch.write(cluster_pool(pooled, profile, eps, True), "clustered")
     labels = label_clusters(clustered, normal_centroid(routed, pooled, profile), profile).select("cluster_id", "cluster_label")
     verdicts = clustered.join(labels, "cluster_id", "left").select("row_id", "cluster_id", "cluster_label")
     rows = routed.drop("scores", "votes", "margins").join(verdicts, "row_id", "left")

@@ -89,46 +89,77 @@ def distribution(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy()), 2).alias("pct"))
 
 
-def shuffled(key: str, seed: int = 42) -> list[Column]:
-    """A reproducible order that any engine can follow: a multiplicative hash of the row id, then the id."""
-    return [(F.col(key) * 2654435761 + seed) % 4294967296, F.col(key)]
+HASH_RANGE = 1 << 32
+RANGES = 4096
 
 
-def _ranked(df: DataFrame, label: str, order: list[Column]) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(label).orderBy(*order)))
+def shuffled_key(key: str, seed: int = 42) -> Column:
+    """A multiplicative hash of the row id, below HASH_RANGE: with the id, a reproducible order that any engine can follow."""
+    return (F.col(key) * 2654435761 + seed) % HASH_RANGE
+
+
+def _first(df: DataFrame, label: str | None, hashed: Column, width: float, key: str, limit: Column) -> DataFrame:
+    """Adds _in: whether a row is among the first limit of its label (of all rows without one) by hashed, then key.
+
+    Rows are counted by ranges of width. Ranges below the one that holds the limit are in whole and those above it
+    out; only the rows of that range are ranked, so no task ranks a class. limit may use _n, the label's rows.
+    """
+    by = [label] if label else []
+    rows = df.withColumn("_range", F.floor(hashed / width).cast("long"))
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_c"))
+    own = W.partitionBy(*by)  # RANGES + 1 rows at most for each class
+    placed = counts.select(*by, "_range", "_c", F.sum("_c").over(own.orderBy("_range")).alias("_upto"), F.sum("_c").over(own).alias("_n"))
+    placed = placed.withColumn("_left", limit - (F.col("_upto") - F.col("_c")))
+    placed = placed.withColumn("_state", F.when(F.col("_left") >= F.col("_c"), 1).when(F.col("_left") <= 0, 0))
+    placed = placed.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_range").alias("_of_range"), "_left", "_state")
+    match = F.col("_range") == F.col("_of_range")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    joined = rows.join(placed, match)
+    edge = W.partitionBy(*by).orderBy(hashed, key)
+    whole = joined.where("_state IS NOT NULL").withColumn("_in", F.col("_state") == 1)
+    ranked = joined.where("_state IS NULL").withColumn("_in", F.row_number().over(edge) <= F.col("_left"))
+    return whole.unionByName(ranked).select(*df.columns, "_in")
+
+
+def _first_shuffled(df: DataFrame, label: str | None, key: str, limit: Column) -> DataFrame:
+    return _first(df, label, shuffled_key(key), HASH_RANGE / RANGES, key, limit)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.3) -> DataFrame:
     """Adds split: of each class the first round(share * n) rows in shuffled order are test, the rest train."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = _ranked(df, label, shuffled(key)).join(F.broadcast(counts), label)  # a row for each class
-    return ranked.withColumn("split", F.when(F.col("_rn") <= F.round(F.col("_n") * share), "test").otherwise("train")).drop("_rn", "_n")
+    chosen = _first_shuffled(df, label, key, F.round(F.col("_n") * share))
+    return chosen.withColumn("split", F.when(F.col("_in"), "test").otherwise("train")).drop("_in")
 
 
 def undersample(df: DataFrame, label: str, key: str, targets: dict[int, int] | None = None) -> DataFrame:
     """At most its target of each class, without replacement; classes without a target stay whole."""
-    limit = F.coalesce(*(F.when(F.col(label) == c, n) for c, n in (targets or UNDERSAMPLE).items()), F.lit(2**31 - 1))
-    return _ranked(df, label, shuffled(key)).where(F.col("_rn") <= limit).drop("_rn")
+    limit = F.coalesce(*(F.when(F.col(label) == c, n) for c, n in (targets or UNDERSAMPLE).items()), F.col("_n"))
+    return _first_shuffled(df, label, key, limit).where("_in").drop("_in")
 
 
 def balanced_pair(df: DataFrame, label: str, key: str, a: int, b: int, most: int = 2500) -> DataFrame:
     """As many rows of class a as of class b: the least of both counts and most. y is 1 for a, -1 for b."""
     both = df.where(F.col(label).isin(a, b))
-    n = both.agg(F.least(F.lit(most), F.count_if(F.col(label) == a), F.count_if(F.col(label) == b)).alias("_n"))
-    ranked = _ranked(both, label, shuffled(key)).crossJoin(F.broadcast(n))  # one row
-    return ranked.where(F.col("_rn") <= F.col("_n")).withColumn("y", F.when(F.col(label) == a, 1).otherwise(-1)).drop("_rn", "_n")
+    n = both.agg(F.least(F.lit(most), F.count_if(F.col(label) == a), F.count_if(F.col(label) == b)).alias("n")).first()["n"]
+    return _first_shuffled(both, label, key, F.lit(n)).where("_in").drop("_in").withColumn("y", F.when(F.col(label) == a, 1).otherwise(-1))
 
 
 def per_class(df: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    return _ranked(df, label, shuffled(key)).where(F.col("_rn") <= most).drop("_rn")
+    return _first_shuffled(df, label, key, F.lit(most)).where("_in").drop("_in")
 
 
 def first_rows(df: DataFrame, order: str, most: int) -> DataFrame:
-    return df.orderBy(order).limit(most)
+    """The first rows by a whole-numbered column, found by counts of its ranges."""
+    span = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if span["low"] is None:
+        return df
+    low, width = span["low"], (span["high"] - span["low"]) / RANGES + 1
+    return _first(df, None, F.col(order) - F.lit(low), width, order, F.lit(most)).where("_in").drop("_in")
 
 
 def random_rows(df: DataFrame, key: str, most: int) -> DataFrame:
-    return df.orderBy(*shuffled(key)).limit(most)
+    return _first_shuffled(df, None, key, F.lit(most)).where("_in").drop("_in")
 
 
 def drop_holdout(train: DataFrame, label: str, holdout: tuple[int, ...]) -> DataFrame:

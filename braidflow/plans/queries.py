@@ -6,8 +6,9 @@ of most queries is the diagonal discriminant, which SQL can follow. Doubles are
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidflow.functions.vectors import doubles, rounded
@@ -54,9 +55,8 @@ def final(spark: SparkSession, d: str, name: str = "mpi") -> DataFrame:
 
 def pool_points(spark: SparkSession, d: str) -> DataFrame:
     """The margin profile's pool in score space: id, v."""
-    profile = PROFILES["thread"]
-    pooled = hybrid.pool(hybrid.route(judged(spark, d, "thread"), profile), profile)
-    return pooled.join(scored(spark, d).select("row_id", "scores"), "row_id").select("id", F.col("scores").alias("v"))
+    profile = replace(PROFILES["thread"], space="scores")
+    return hybrid.pool(hybrid.route(judged(spark, d, "thread"), profile), profile).select("id", "v")
 
 
 # ---- preparation
@@ -263,11 +263,11 @@ def dbscan_strict(spark, d):
 
 
 def kth_distance(spark, d):
-    return clustering.kth_distances(pool_points(spark, d), 8).select("id", r6("kdist").alias("kdist"))
+    return clustering.kth_distances(pool_points(spark, d), 8, 6).select("id", r6("kdist").alias("kdist"))
 
 
 def knee_radius(spark, d):
-    return clustering.knee_radius(clustering.kth_distances(pool_points(spark, d), 8)).select(r6("eps").alias("eps"))
+    return clustering.knee_radius(clustering.kth_distances(pool_points(spark, d), 8, 6)).select(r6("eps").alias("eps"))
 
 
 def percentile_radius(spark, d):

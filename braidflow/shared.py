@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+RELEASE_SECONDS = 0.5
 _own_dirs: dict[str, str] = {}
 
 
@@ -61,6 +63,7 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of queries that are over, instead of when the driver next collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(RELEASE_SECONDS)  # the files go in the background
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

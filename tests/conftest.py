@@ -13,6 +13,9 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
 
+    from braidflow import shared
+
+    shared.RELEASE_SECONDS = 0
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.default.parallelism": "4"}
     s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")

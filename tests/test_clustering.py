@@ -80,5 +80,5 @@ def test_components(spark):
 
 
 def test_knee_of_a_small_pool(spark):
-    eps = clustering.knee_radius(clustering.kth_distances(rows_of(spark, 0, 1, 2, 3, 4, 10, 20, 40), 2)).first()["eps"]
+    eps = clustering.knee_radius(clustering.kth_distances(rows_of(spark, 0, 1, 2, 3, 4, 10, 20, 40), 2, 1)).first()["eps"]
     assert eps == 1.0
