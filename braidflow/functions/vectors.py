@@ -21,7 +21,8 @@ def total(col: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
+    """The sum of products; vectors of different widths are an error."""
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different widths"))).otherwise(total(F.zip_with(a, b, lambda x, y: x * y)))
 
 
 def sqdist(a: Column, b: Column) -> Column:

@@ -85,6 +85,16 @@ class Fourier:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(j, list(o), p) for j, (o, p) in enumerate(zip(self.omega, self.phase, strict=True))], "j int, omega array<double>, phase double")
 
+    @staticmethod
+    def of(table: DataFrame, width: int, linear: LinearPairs) -> Fourier:
+        """A stored projection, refused where it doesn't fit the features and the weights."""
+        rows = table.orderBy("j").collect()  # a row for each random feature
+        if not rows or len({len(r["omega"]) for r in rows}) > 1:
+            raise ValueError("no projection, or one of unequal rows")
+        out = Fourier(tuple(tuple(r["omega"]) for r in rows), tuple(r["phase"] for r in rows))
+        out.check(width, linear)
+        return out
+
     def check(self, width: int, linear: LinearPairs) -> None:
         if len(self.omega[0]) != width or len(linear.w[0]) != len(self.omega):
             raise ValueError(f"projection {len(self.omega)} x {len(self.omega[0])} doesn't fit {width} features and {len(linear.w[0])} weights")

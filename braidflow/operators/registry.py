@@ -70,5 +70,12 @@ def throughput(rows: Column, ms: Column) -> Column:
 
 
 def shown_duration(ms: Column) -> Column:
-    """Under a second in ms, else in seconds, with two decimals."""
-    return F.when(ms < 1000, F.concat(F.format_number(ms, 2), F.lit(" ms"))).otherwise(F.concat(F.format_number(ms / 1000, 2), F.lit(" s")))
+    """A dash for nothing; whole milliseconds under a second, else seconds under a minute, else minutes, with one decimal."""
+    one = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
+    return F.when(ms.isNull() | (ms == 0), "\u2014").when(ms < 1000, F.concat(F.format_string("%.0f", ms), F.lit(" ms"))).when(ms < 60_000, one(ms / 1000, " s")).otherwise(one(ms / 60_000, " min"))
+
+
+def shown_number(n: Column) -> Column:
+    """With separators of thousands, and three decimals at most; a dash for null."""
+    text = F.regexp_replace(F.regexp_replace(F.format_number(n.cast("double"), 3), "0+$", ""), "\\.$", "")
+    return F.when(n.isNull(), "\u2014").otherwise(text)

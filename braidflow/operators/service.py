@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidflow.operators import registry, serving
 from braidflow.operators.models import KernelPairs, LinearPairs
 from braidflow.operators.taxonomy import NAMES, TRAINED, name_of
+from braidflow.shared import exists
 from braidflow.sources import logs
 
 # What the registry says of each engine.
@@ -17,10 +17,9 @@ KINDS = {"cuda": "RFF-SVM", "mpi": "Linear SVM", "openmp": "Linear SVM", "thread
 
 def load_model(spark: SparkSession, path: str) -> LinearPairs | KernelPairs | None:
     """The pair model stored at path, of either form; None if there is none."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return None
+    table = spark.read.parquet(path)
     return KernelPairs.of(table) if "sv" in table.columns else LinearPairs.of(table)
 
 
@@ -31,10 +30,9 @@ def save_clusters(centroids: DataFrame, path: str, **parameters: float) -> None:
 
 def load_clusters(spark: SparkSession, path: str, dims: int) -> list[tuple[int, list[float]]] | None:
     """The stored centroids, a row for each cluster; None if there are none, or of another width."""
-    try:
-        rows = spark.read.parquet(path).select("cluster_id", "centroid").orderBy("cluster_id").collect()
-    except AnalysisException:
+    if not exists(spark, path):
         return None
+    rows = spark.read.parquet(path).select("cluster_id", "centroid").orderBy("cluster_id").collect()
     return [(r["cluster_id"], r["centroid"]) for r in rows] if rows and all(len(r["centroid"]) == dims for r in rows) else None
 
 
@@ -45,7 +43,7 @@ def loadable(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def model_info(spark: SparkSession, model: str, stored: LinearPairs | KernelPairs) -> DataFrame:
-    serving.check_request(model, "none", serving.FEATURES)
+    serving.check_request(model, "none", serving.FEATURES, unknown=404)
     width = len(stored.w[0]) if isinstance(stored, LinearPairs) else len(stored.vectors[0][0])
     row = (model, KINDS[model], width, len(TRAINED), len(stored.pairs), [NAMES[c] for c in TRAINED], serving.THRESHOLDS[model])
     return spark.createDataFrame([row], "model string, kind string, n_features int, n_classes int, n_pairs int, classes array<string>, threshold double")

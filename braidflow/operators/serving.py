@@ -15,6 +15,7 @@ from braidflow.operators.clustering import centroids, dbscan, nearest_centroid,
 from braidflow.operators.hybrid import simulated_vote, strongest
 from braidflow.operators.prep import finite
 from braidflow.operators.taxonomy import NORMAL, name_of
+from braidflow.shared import Scratch
 
 # Confidence thresholds of serving, by model.
 THRESHOLDS = {"cuda": 0.5, "mpi": 0.8, "openmp": 0.6, "thread": 1.0, "pyspark": 0.5}
@@ -23,20 +24,28 @@ FEATURES = 52
 MODES = ("none", "hybrid", "pure")
 
 
+#: How each kind of model decides: confidence, rule, whether a score of zero is for the first class, space of the clusters.
+LINEAR, KERNEL = ("votes", "votes", False, "scores"), ("margin", "weighted", True, "margins")
+DECIDES = {"cuda": LINEAR, "mpi": LINEAR, "openmp": LINEAR, "thread": KERNEL, "pyspark": KERNEL}
+CLUSTERS_ONLY = "dbscan"
+
+
 class RequestError(ValueError):
     def __init__(self, status: int, message: str):
         super().__init__(message)
         self.status = status
 
 
-def check_request(model: str, mode: str, width: int, expected: int = FEATURES, loadable: tuple[str, ...] = MODELS) -> None:
-    """404 for an unknown model, 503 for one that can't be loaded, 400 for a bad mode or width."""
-    if model not in MODELS:
-        raise RequestError(404, f"unknown model {model}")
+def check_request(model: str, mode: str, width: int, expected: int = FEATURES, loadable: tuple[str, ...] = (*MODELS, CLUSTERS_ONLY), unknown: int = 400) -> None:
+    """400 for an unknown model (404 where the model is what is asked for), 503 for one that can't be loaded, 400 for a bad mode, no features or another width."""
+    if model not in (*MODELS, CLUSTERS_ONLY):
+        raise RequestError(unknown, f"unknown model {model}")
     if model not in loadable:
         raise RequestError(503, f"{model} can't be loaded")
     if mode not in MODES:
         raise RequestError(400, f"unknown mode {mode}")
+    if not width:
+        raise RequestError(400, "no features")
     if width != expected:
         raise RequestError(400, f"{expected} features are expected, {width} came")
 
@@ -79,14 +88,14 @@ def hybrid_online(verdicts: DataFrame, threshold: float, space: str = "scores",
     return out.select("row_id", "predicted_class", label.alias("predicted_label"), "confidence", F.col("unsure").alias("is_uncertain"), F.coalesce(F.col("cluster_id") >= 0, F.lit(False)).alias("is_novel"), "cluster_id")
 
 
-def hybrid_pretrained(verdicts: DataFrame, threshold: float, model: list[tuple[int, list[float]]], fixed: float | None = None) -> DataFrame:
+def hybrid_pretrained(verdicts: DataFrame, threshold: float, model: list[tuple[int, list[float]]], fixed: float | None = None, space: str = "scores") -> DataFrame:
     """The unsure attack rows go to the nearest centroid of a stored cluster model.
 
     Those within the median of this batch's distances (or within fixed) are of that cluster and no longer
     uncertain; the others are outliers, uncertain and novel.
     """
     verdicts = verdicts.withColumn("unsure", _unsure(verdicts, threshold) & (F.col("predicted_class") != NORMAL))
-    points = verdicts.where("unsure").select(F.col("row_id").alias("id"), F.col("scores").alias("v"))
+    points = verdicts.where("unsure").select(F.col("row_id").alias("id"), F.col(space).cast("array<double>").alias("v"))
     near = nearest_centroid(points, model)
     bound = near.agg(F.coalesce(F.lit(fixed).cast("double"), F.median("distance")).alias("bound"))
     near = near.crossJoin(F.broadcast(bound)).select(F.col("id").alias("row_id"), "distance", F.when(F.col("distance") <= F.col("bound"), F.col("cluster_id")).otherwise(-1).alias("cluster_id"))  # one row
@@ -160,17 +169,53 @@ def summary(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def predict(batch: DataFrame, model, mode: str = "hybrid", threshold: float | None = None, name: str = "mpi", clusters=None, fourier=None, dims: int = FEATURES) -> DataFrame:
-    """A request: row_id, x -> verdicts. Rows with values that aren't finite are refused."""
-    check_request(name, mode, dims, dims)
-    if batch.where(F.exists("x", lambda v: finite(v).isNull())).count():
+def predict(batch: DataFrame, model=None, mode: str = "hybrid", threshold: float | None = None, name: str = "mpi", clusters=None, fourier=None, dims: int = FEATURES, loadable: tuple[str, ...] = (*MODELS, CLUSTERS_ONLY)) -> DataFrame:
+    """A request: row_id, x -> verdicts, by the rule, confidence, zero side and space of the named kind of model.
+
+    mode: none, hybrid or pure. The model "dbscan" has no classifier, so it is always pure. A stored cluster model of
+    another width than the space's isn't used. Rows of another width, or with values that aren't finite, are refused.
+    """
+    wrong = F.size("x") != dims
+    seen = batch.agg(F.count("*").alias("n"), F.max(F.when(wrong, F.size("x"))).alias("other"), F.count_if(wrong).alias("wrong"), F.count_if(F.exists("x", lambda v: finite(v).isNull())).alias("odd")).first()
+    check_request(name, mode, 0 if not seen["n"] else (seen["other"] if seen["wrong"] else dims), dims, loadable)
+    if seen["odd"]:
         raise RequestError(400, "values must be finite")
-    if mode == "pure":
+    if mode == "pure" or name == CLUSTERS_ONLY:
         return pure(batch, dims)
+    confidence, rule, at_zero_first, space = DECIDES[name]
     threshold = THRESHOLDS[name] if threshold is None else threshold
-    verdicts = plain(scoring.score(batch, model, fourier))
+    scored = Scratch(batch.sparkSession, "request").write(scoring.score(batch, model, fourier).select("row_id", "scores"), "scored")
+    verdicts = plain(scored, confidence, rule, at_zero_first)
     if mode == "none":
         return verdicts.select("row_id", "predicted_class", "predicted_label", "confidence", "vote_map")
-    return hybrid_pretrained(verdicts, threshold, clusters) if clusters else hybrid_online(verdicts, threshold)
+    width = 6 if space == "scores" else 4
+    if clusters and all(len(c) == width for _, c in clusters):
+        return hybrid_pretrained(verdicts, threshold, clusters, space=space)
+    return hybrid_online(verdicts, threshold, space)
+
 
+def class_summary(verdicts: DataFrame) -> DataFrame:
+    """predicted_label, n."""
+    return verdicts.groupBy("predicted_label").agg(F.count("*").alias("n"))
 
+
+def breakdown(verdicts: DataFrame) -> DataFrame:
+    """part, n, pct: the parts of a response; a row may be in several, and pct is of all rows."""
+    label = F.col("predicted_label")
+    if "is_outlier" in verdicts.columns:
+        parts = {"clustered_samples": ~F.col("is_outlier"), "outliers": F.col("is_outlier")}
+    else:
+        unsure, novel = F.col("is_uncertain"), F.col("is_novel")
+        parts = {"confident_predictions": ~unsure, "uncertain_normal": unsure & ~novel & F.contains(label, F.lit("Normal")), "dbscan_verified_attacks": F.contains(label, F.lit("DBSCAN verified")), "novel_unknown_attacks": novel}
+    wide = verdicts.agg(F.count("*").alias("all"), *(F.count_if(c).alias(n) for n, c in parts.items()))
+    rows = F.array(*(F.struct(F.lit(n).alias("part"), F.col(n).alias("n")) for n in parts))
+    long = wide.select("all", F.explode(rows).alias("x"))
+    return long.select("x.part", "x.n", F.coalesce(F.round(100 * F.try_divide(F.col("x.n"), F.col("all")), 2), F.lit(0.0)).alias("pct"))
+
+
+def predict_csv(lines: DataFrame, model=None, dims: int = FEATURES, **options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """An uploaded CSV (line_no, value) -> verdicts by line, the summary of classes, and the breakdown where clusters were asked for."""
+    from braidflow.sources.loaders import upload
+
+    verdicts = predict(upload(lines, dims).withColumnRenamed("line_no", "row_id"), model, dims=dims, **options)
+    return verdicts, class_summary(verdicts), None if "vote_map" in verdicts.columns else breakdown(verdicts)

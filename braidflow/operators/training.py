@@ -61,8 +61,16 @@ def hinge_gradient(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarr
     return pull @ x[hit], float(pull.sum()), float((weight * np.maximum(slack, 0)).sum())
 
 
-def train_linear(rows: DataFrame, weights: dict[int, float] | None = None, epochs: int = EPOCHS, pairs=PAIRS, most: int = 2500) -> LinearPairs:
-    """Weighted hinge loss by Adam on mini-batches with replacement, one grouped task for each pair."""
+def train_linear(rows: DataFrame, weights: dict[int, float] | None = None, epochs: int = EPOCHS, pairs=PAIRS, most: int = 2500, batch: int = BATCH, whole_epochs: bool = False) -> LinearPairs:
+    """Weighted hinge loss by Adam on mini-batches with replacement, one grouped task for each pair.
+
+    An epoch is one batch, or with whole_epochs as many as the pair's rows fill, each with a step of its own.
+    """
+    return train_snapshots(rows, weights, epochs, epochs, pairs, most, batch, whole_epochs)[epochs]
+
+
+def train_snapshots(rows: DataFrame, weights: dict[int, float] | None = None, epochs: int = EPOCHS, every: int = EPOCHS, pairs=PAIRS, most: int = 2500, batch: int = BATCH, whole_epochs: bool = False) -> dict[int, LinearPairs]:
+    """The models after every more epochs of one run, by epoch."""
     weights = weights or CLASS_WEIGHTS["mpi"]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -70,17 +78,45 @@ def train_linear(rows: DataFrame, weights: dict[int, float] | None = None, epoch
         pair = int(group["pair"].iloc[0])
         x, y = np.stack(group["x"].to_numpy()), group["y"].to_numpy(float)
         weight = group["label"].map(weights).fillna(1.0).to_numpy()
-        w, adam = np.zeros(x.shape[1] + 1), Adam(x.shape[1] + 1)
+        w, adam, out = np.zeros(x.shape[1] + 1), Adam(x.shape[1] + 1), []
         for epoch in range(epochs):
             rng = np.random.default_rng(pair * 1000 + epoch)
-            at = rng.integers(0, len(x), min(BATCH, len(x)))
-            gw, gb, _ = hinge_gradient(x[at], y[at], weight[at], w[:-1], w[-1])
-            w = adam.step(w, np.append(gw + L2 * w[:-1], gb), learning_rate(epoch, epochs))
-        return pd.DataFrame({"pair": [pair], "w": [w[:-1].tolist()], "b": [float(w[-1])]})
-
-    found = pair_samples(rows, most=most, pairs=pairs).groupBy("pair").applyInPandas(fit, "pair int, w array<double>, b double").collect()
-    by = {r["pair"]: r for r in found}  # a row for each pair
-    return LinearPairs(tuple(pairs), tuple(tuple(by[k]["w"]) for k in range(len(pairs))), tuple(by[k]["b"] for k in range(len(pairs))))
+            for _ in range(max(1, len(x) // batch) if whole_epochs else 1):
+                at = rng.integers(0, len(x), min(batch, len(x)))
+                gw, gb, _ = hinge_gradient(x[at], y[at], weight[at], w[:-1], w[-1])
+                w = adam.step(w, np.append(gw + L2 * w[:-1], gb), learning_rate(epoch, epochs))
+            if (epoch + 1) % every == 0:
+                out.append((pair, epoch + 1, w[:-1].tolist(), float(w[-1])))
+        return pd.DataFrame(out, columns=["pair", "epoch", "w", "b"])
+
+    found = pair_samples(rows, most=most, pairs=pairs).groupBy("pair").applyInPandas(fit, "pair int, epoch int, w array<double>, b double").collect()
+    by = {(r["epoch"], r["pair"]): r for r in found}  # a row for each pair and snapshot
+    model = lambda e: LinearPairs(tuple(pairs), tuple(tuple(by[e, k]["w"]) for k in range(len(pairs))), tuple(by[e, k]["b"] for k in range(len(pairs))))
+    return {e: model(e) for e in sorted({e for e, _ in by})}
+
+
+def gradient_sums(rows: DataFrame, model: LinearPairs, weights: dict[int, float], key: str = "label") -> DataFrame:
+    """pair, place, gradient: the hinge gradients of all pairs summed over rows; the place after the last weight is the bias."""
+    w = np.c_[np.array(model.w), np.array(model.b)]
+    parts = rows.select(F.col(key).alias("label"), "x").mapInPandas(_partial(w, weights, model.pairs), "g array<double>")
+    width = w.shape[1]
+    summed = parts.select(F.posexplode("g").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("gradient"))
+    return summed.select((F.col("k") / width).cast("int").alias("pair"), (F.col("k") % width).cast("int").alias("place"), "gradient")
+
+
+def _partial(current: np.ndarray, weights: dict[int, float], pairs):
+    def run(batches):
+        g = np.zeros_like(current)
+        for batch in batches:
+            x, label = np.stack(batch["x"].to_numpy()), batch["label"].to_numpy()
+            weight = pd.Series(label).map(weights).fillna(1.0).to_numpy()
+            for k, (a, b) in enumerate(pairs):
+                of = (label == a) | (label == b)
+                gw, gb, _ = hinge_gradient(x[of], np.where(label[of] == a, 1.0, -1.0), weight[of], current[k, :-1], current[k, -1])
+                g[k] += np.append(gw, gb)
+        yield pd.DataFrame({"g": [g.ravel().tolist()]})
+
+    return run
 
 
 def train_linear_all(rows: DataFrame, weights: dict[int, float] | None = None, epochs: int = 20, pairs=PAIRS) -> LinearPairs:
@@ -91,28 +127,11 @@ def train_linear_all(rows: DataFrame, weights: dict[int, float] | None = None, e
     n = used.count()
     w, adam = np.zeros((len(pairs), width + 1)), Adam((len(pairs), width + 1))
 
-    def partial(current: np.ndarray):
-        def run(batches):
-            g = np.zeros_like(current)
-            for batch in batches:
-                x, label = np.stack(batch["x"].to_numpy()), batch["label"].to_numpy()
-                weight = pd.Series(label).map(weights).fillna(1.0).to_numpy()
-                for k, (a, b) in enumerate(pairs):
-                    of = (label == a) | (label == b)
-                    gw, gb, _ = hinge_gradient(x[of], np.where(label[of] == a, 1.0, -1.0), weight[of], current[k, :-1], current[k, -1])
-                    g[k] += np.append(gw, gb)
-            yield pd.DataFrame({"g": [g.ravel().tolist()]})
-
-        return run
-
-    size = w.size
     for epoch in range(epochs):
-        parts = used.mapInPandas(partial(w), "g array<double>")
-        row = parts.select(F.posexplode("g").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-        g = np.zeros(size)
-        for r in row.collect():  # a number for each weight
-            g[r["k"]] = r["v"]
-        g = g.reshape(w.shape) / max(1, n)
+        g = np.zeros(w.shape)
+        for r in gradient_sums(used, LinearPairs(tuple(pairs), w[:, :-1], w[:, -1]), weights).collect():  # a number for each weight
+            g[r["pair"], r["place"]] = r["gradient"]
+        g /= max(1, n)
         g[:, :-1] += L2 * w[:, :-1]
         w = adam.step(w, g, learning_rate(epoch, epochs))
     return LinearPairs(tuple(pairs), tuple(map(tuple, w[:, :-1].tolist())), tuple(w[:, -1].tolist()))
@@ -129,12 +148,12 @@ def train_validated(rows: DataFrame, held: DataFrame, rounds: int = 10, every: i
     from braidflow.operators import hybrid, metrics, scoring
 
     best, last, log, top, since = None, None, [], float("-inf"), 0
-    for k in range(1, rounds + 1):
-        last = replace(train_linear(rows, epochs=k * every), checkpoint="final")
+    for epoch, model in train_snapshots(rows, epochs=rounds * every, every=every).items():
+        last = replace(model, checkpoint="final")
         judged = hybrid.judge(scoring.score(held, last), hybrid.PROFILES["mpi"]).withColumn("final", F.col("pred"))
         f1 = metrics.macro_f1(judged, "trained").first()["macro_f1"]
         accuracy = metrics.rates(judged).first()["accuracy_strict"]
-        log.append((k * every, learning_rate(k * every, rounds * every), accuracy, f1))
+        log.append((epoch, learning_rate(epoch, rounds * every), accuracy, f1))
         if f1 > top + min_delta:
             best, top, since = replace(last, checkpoint="best"), f1, 0
         else:
@@ -144,15 +163,34 @@ def train_validated(rows: DataFrame, held: DataFrame, rounds: int = 10, every: i
     return last, best, log
 
 
-def train_fourier(rows: DataFrame, fourier: Fourier, epochs: int = 50, most: int = 2500) -> LinearPairs:
-    """The linear trainer on random Fourier features."""
+def validation_clusters(judged: DataFrame, cap: int = 35_000, eps: float | None = None) -> DataFrame:
+    """row_id, label, scores, votes, margins, pred, conf of validation rows -> one row: n_uncertain, n_clusters, n_noise.
+
+    The rows whose confidence is under the first profile's threshold, up to the cap, are clustered as that profile does.
+    """
+    from braidflow.operators import hybrid
+    from braidflow.operators.clustering import cluster_counts, dbscan
+    from braidflow.operators.prep import first_rows
+
+    p = hybrid.PROFILES["cuda"]
+    unsure = first_rows(judged.where(F.col("conf") < p.threshold), "row_id", cap)
+    points = unsure.select(F.col("row_id").alias("id"), hybrid.space(p).alias("v"))
+    found = dbscan(points, eps or p.eps, p.min_samples, p.dims, p.strict, p.count_self)
+    return cluster_counts(found).crossJoin(unsure.agg(F.count("*").alias("n_uncertain"))).select("n_uncertain", "n_clusters", "n_noise")  # one row
+
+
+RFF_BATCH = 2048
+
+
+def train_fourier(rows: DataFrame, fourier: Fourier, epochs: int = 50, most: int = 2500, batch: int = RFF_BATCH) -> LinearPairs:
+    """The linear trainer on random Fourier features: whole epochs of larger batches, a step for each."""
     omega, phase = np.array(fourier.omega).T, np.array(fourier.phase)
 
     @F.pandas_udf("array<double>")
     def features(x: pd.Series) -> pd.Series:
         return pd.Series(list(np.sqrt(2 / omega.shape[1]) * np.cos(np.stack(x.to_numpy()) @ omega + phase)))
 
-    return train_linear(rows.withColumn("x", features("x")), CLASS_WEIGHTS["cuda"], epochs, most=most)
+    return train_linear(rows.withColumn("x", features("x")), CLASS_WEIGHTS["cuda"], epochs, most=most, batch=batch, whole_epochs=True)
 
 
 def _rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:

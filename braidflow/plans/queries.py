@@ -11,13 +11,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidflow.functions.vectors import doubles, rounded
+from braidflow.functions.vectors import doubles, rounded, total
 from braidflow.operators import clustering, hybrid, metrics, prep, registry, scoring, service, serving, taxonomy, training
 from braidflow.operators.hybrid import PROFILES
-from braidflow.operators.models import Fourier, centroid_pairs, class_moments, lda_pairs, prototype_kernel
+from braidflow.operators.models import Fourier, LinearPairs, centroid_pairs, class_moments, lda_pairs, prototype_kernel, save
 from braidflow.operators.taxonomy import HOLDOUT, TRAINED
 from braidflow.shared import Scratch, table
-from braidflow.sources import loaders, logs
+from braidflow.sources import loaders, logs, sinks
 from braidflow.streaming import scoring as stream
 
 DIMS = 64
@@ -53,6 +53,27 @@ def final(spark: SparkSession, d: str, name: str = "mpi") -> DataFrame:
     return hybrid.evaluate(scored(spark, d), PROFILES[name], RADII[name])
 
 
+#: A second, intransitive scoring for the fixture: of trained rows a quarter score small, a quarter small and in a cycle, so that
+#: every profile has unsure rows, clusters without anchors and noise; with these radii and caps also rows beyond the cap.
+CYCLE = (0.35, -0.35, 0.35, 0.35, -0.35, 0.35)
+MIXED = {"pyspark": (0.35, 150), "cuda": (0.35, 35), "mpi": (0.25, 30), "openmp": (1.1, 15), "thread": (0.35, 100)}
+
+
+def mixed_scores(spark: SparkSession, d: str) -> DataFrame:
+    quarter, trained_row = F.col("row_id") % 4, F.col("label").isin(*TRAINED)
+    factor = F.when(~trained_row, 1.5).when(quarter == 0, 0.25).when(quarter == 1, 0.2).otherwise(0.5)
+    cycle = F.array(*(F.when(trained_row & (quarter == 1), c).otherwise(0.0) for c in CYCLE))
+    return scored(spark, d).select("row_id", "label", F.zip_with("scores", cycle, lambda x, c: x * factor + c).alias("scores"))
+
+
+def mixed_profile(name: str) -> hybrid.Profile:
+    return replace(PROFILES[name], eps=MIXED[name][0], cap=MIXED[name][1])
+
+
+def mixed_final(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return hybrid.evaluate(mixed_scores(spark, d), mixed_profile(name))
+
+
 def pool_points(spark: SparkSession, d: str) -> DataFrame:
     """The margin profile's pool in score space: id, v."""
     profile = replace(PROFILES["thread"], space="scores")
@@ -295,12 +316,26 @@ def _final(name):
     return query
 
 
+def _mixed(name):
+    def query(spark, d):
+        return mixed_final(spark, d, name).select("row_id", "label", "pred", "route", "cluster_id", "final")
+
+    return query
+
+
 def cluster_labels(spark, d):
-    p = PROFILES["thread"]
-    scratch = Scratch(spark, "labels")
-    routed = scratch.write(hybrid.route(judged(spark, d, "thread"), p).select("row_id", "label", "scores", "votes", "margins", "pred", "conf", "route"), "routed")
+    return _labels(scored(spark, d), replace(PROFILES["thread"], eps=RADII["thread"]))
+
+
+def cluster_labels_mixed(spark, d):
+    return _labels(mixed_scores(spark, d), mixed_profile("thread"))
+
+
+def _labels(scores: DataFrame, p: hybrid.Profile) -> DataFrame:
+    scratch = Scratch(scores.sparkSession, "labels")
+    routed = scratch.write(hybrid.route(hybrid.judge(scores, p), p).select("row_id", "label", "scores", "votes", "margins", "pred", "conf", "route"), "routed")
     pooled = scratch.write(hybrid.pool(routed, p), "pool")
-    clustered = hybrid.cluster_pool(pooled, p, RADII["thread"])
+    clustered = hybrid.cluster_pool(pooled, p, stored=True)
     return hybrid.label_clusters(clustered, hybrid.normal_centroid(routed, pooled, p), p).select("cluster_id", "size", "anchors", "cluster_label")
 
 
@@ -331,11 +366,149 @@ def serve_summary(spark, d):
 
 
 def _request(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 120").select(F.col("vec_id").alias("row_id"), doubles("embedding").alias("x"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), doubles("embedding").alias("x"))
 
 
 def serve_pure(spark, d):
-    return serving.pure(_request(spark, d), DIMS).select("row_id", "predicted_label", "cluster_id", "is_outlier", r6("confidence").alias("confidence"))
+    return serving.predict(_request(spark, d), name="dbscan", dims=DIMS).select("row_id", "predicted_label", "cluster_id", "is_outlier", r6("confidence").alias("confidence"))
+
+
+#: A confidence that some of the kernel model's attack rows reach.
+KERNEL_THRESHOLD = 0.012
+
+
+def serve_kernel(spark, d):
+    found = serving.predict(rows(spark, d), prototype_kernel(rows(spark, d), 5), "hybrid", KERNEL_THRESHOLD, "thread", dims=DIMS)
+    return found.select("row_id", F.col("predicted_class").cast("int").alias("predicted_class"), "predicted_label", "is_uncertain", "is_novel", "cluster_id")
+
+
+def _upload(spark, d):
+    """The embeddings as an uploaded CSV: a header, then a row for each vector."""
+    body = table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("line_no"), F.array_join(F.transform(doubles("embedding"), lambda x: x.cast("string")), ",").alias("value"))
+    return lines(spark, ",".join(f"f{k}" for k in range(DIMS))).unionByName(body)
+
+
+def serve_csv(spark, d):
+    """Of an upload the class summary and the breakdown, as one table."""
+    linear = lda(spark, d)
+    shifted = replace(linear, b=tuple(b + c for b, c in zip(linear.b, CYCLE, strict=True)))
+    _, summary, parts = serving.predict_csv(_upload(spark, d), shifted, DIMS, mode="hybrid", name="mpi")
+    return summary.select(F.lit("class").alias("kind"), F.col("predicted_label").alias("name"), "n", F.lit(None).cast("double").alias("pct")).unionByName(parts.select(F.lit("part").alias("kind"), F.col("part").alias("name"), "n", "pct"))
+
+
+def validation_clusters(spark, d):
+    return training.validation_clusters(hybrid.judge(mixed_scores(spark, d), PROFILES["cuda"]), eps=0.35)
+
+
+def cluster_counts(spark, d):
+    return clustering.cluster_counts(clustering.dbscan(pool_points(spark, d), 0.7, 5, 6))
+
+
+def gradient_sums(spark, d):
+    return training.gradient_sums(trained(spark, d), lda(spark, d), training.CLASS_WEIGHTS["mpi"]).select("pair", "place", F.round("gradient", 4).alias("gradient"))
+
+
+def rbf_scores_wide(spark, d):
+    """So many support vectors that the expanded distances of a matrix product are used."""
+    return scoring.score(rows(spark, d), prototype_kernel(rows(spark, d), 30)).select("row_id", F.posexplode("scores").alias("pair", "score")).select("row_id", "pair", r6("score").alias("score"))
+
+
+# ---- files and models, written and read again
+
+
+def feature_files(spark, d):
+    base = Scratch(spark, "files").base
+    sinks.write_features(rows(spark, d), f"{base}/x")
+    sinks.write_labels(rows(spark, d), f"{base}/y")
+    both = loaders.zip_labels(loaders.feature_csv(spark, f"{base}/x", DIMS), loaders.label_csv(spark, f"{base}/y"))
+    return both.select("row_id", "label", F.round(total(F.col("x")), 5).alias("total"))
+
+
+def prediction_files(spark, d):
+    """The verdicts in each of the three formats."""
+    base, found = Scratch(spark, "predictions").base, final(spark, d, "thread")
+    parts = []
+    for k, (columns, header) in enumerate(((("final",), False), (("label", "final"), False), (("label", "final"), True))):
+        sinks.write_predictions(found, f"{base}/{k}", columns, header)
+        read = logs.predictions(loaders.numbered_lines(spark, f"{base}/{k}").selectExpr("row_id AS line_no", "value"))
+        parts.append(read.groupBy("original", "predicted").agg(F.count("*").alias("n")).select(F.lit(k).alias("format"), "*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def metric_files(spark, d):
+    """One wide row of rates to metric rows and back."""
+    wide = metrics.rates(final(spark, d, "thread"))
+    return sinks.wide_row(sinks.metric_rows(wide)).select(*(r6(c).alias(c) for c in wide.columns))
+
+
+def linear_model_files(spark, d):
+    base, model = Scratch(spark, "models").base, lda(spark, d)
+    save(model.table(spark), f"{base}/linear")
+    return scoring.score(rows(spark, d), service.load_model(spark, f"{base}/linear")).select("row_id", F.posexplode("scores").alias("pair", "score")).select("row_id", "pair", r6("score").alias("score"))
+
+
+def kernel_model_files(spark, d):
+    base, model = Scratch(spark, "models").base, prototype_kernel(rows(spark, d), 5)
+    save(model.table(spark), f"{base}/kernel")
+    return scoring.score(rows(spark, d), service.load_model(spark, f"{base}/kernel")).select("row_id", F.posexplode("scores").alias("pair", "score")).select("row_id", "pair", r6("score").alias("score"))
+
+
+def fourier_model_files(spark, d):
+    """A stored projection, read with the check of its width; its features."""
+    base, made = Scratch(spark, "models").base, Fourier.formula(DIMS, 8)
+    save(made.table(spark), f"{base}/fourier")
+    read = Fourier.of(spark.read.parquet(f"{base}/fourier"), DIMS, LinearPairs(((2, 3),), ((0.0,) * 8,), (0.0,)))
+    return rows(spark, d).select("row_id", F.posexplode(scoring.fourier_features(read)).alias("j", "z")).select("row_id", "j", r6("z").alias("z"))
+
+
+def cluster_model_files(spark, d):
+    """Class means of the scores, stored as a cluster model and read again; the nearest of each row's scores."""
+    base = Scratch(spark, "models").base
+    mean = F.array(*(F.avg(F.col("scores")[k]) for k in range(6)))
+    centre = scored(spark, d).where(F.col("label").isin(*TRAINED)).groupBy(F.col("label").alias("cluster_id")).agg(mean.alias("centroid"))
+    service.save_clusters(centre.withColumn("cluster_label", F.col("cluster_id")), f"{base}/clusters", eps=1.0)
+    points = scored(spark, d).select(F.col("row_id").alias("id"), F.col("scores").alias("v"))
+    return clustering.nearest_centroid(points, service.load_clusters(spark, f"{base}/clusters", 6)).select("id", "cluster_id", r6("distance").alias("distance"))
+
+
+def scaler_state(spark, d):
+    items = table(spark, d, "lineitem").select(*LINE)
+    rows_ = sinks.scaler_rows(spark, prep.scaler(items, LINE))
+    return rows_.select("position", "feature", F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale"))
+
+
+def weight_lines(spark, d):
+    return sinks.weight_lines(prep.class_weights(trained(spark, d), "label"))
+
+
+def config_lines(spark, d):
+    """Feature names and the run's configuration as lines."""
+    n = rows(spark, d).count()
+    made = sinks.config_lines(list(HOLDOUT), list(TRAINED), taxonomy.NAMES, n_classes_total=len(taxonomy.NAMES), n_test=n)
+    return sinks.name_lines(spark, LINE).select(F.lit("names").alias("file"), "line_no", "value").unionByName(lines(spark, *made).select(F.lit("config").alias("file"), F.col("line_no").cast("int"), "value"))
+
+
+def epoch_log_lines(spark, d):
+    return sinks.epoch_log_lines(spark, list(EPOCHS), ["epoch", "lr", "train_loss", "val_macro_f1"], best_f1=0.81052)
+
+
+def epoch_trailer(spark, d):
+    return logs.trailer(epoch_log_lines(spark, d)).select("key", "value")
+
+
+def json_responses(spark, d):
+    found = serve_plain(spark, d).select("row_id", "predicted_class", "predicted_label")
+    return sinks.response(found)
+
+
+def served_models(spark, d):
+    base = Scratch(spark, "models").base
+    save(lda(spark, d).table(spark), f"{base}/mpi")
+    return service.loadable(spark, {"mpi": f"{base}/mpi", "cuda": f"{base}/none"})
+
+
+def model_info(spark, d):
+    return service.model_info(spark, "mpi", lda(spark, d))
 
 
 # ---- sources and logs, on small literal inputs
@@ -399,6 +572,49 @@ METRIC_LOG = (
 )
 
 
+def latest_log(spark, d):
+    texts = [("a/train_10.out", "Total Train Time : 5 ms"), ("a/train_9.out", "=== Summary ===\n  Total Train Time : 22,658.62 ms (22.66 s)\n  Effective GFLOPS : 63.085"), ("a/train_8.out", "x")]
+    return logs.latest_values(spark.createDataFrame(texts, "path string, text string"))
+
+
+# The published summary of one engine, and part of another's.
+WIDE_SUMMARY = "technique,n_train,n_test,accuracy,total_ms\nfirst,1,2,3.5,4.5\nPySpark_3w,588717,756226,94.4775,18985.7"
+VERTICAL_SUMMARY = (("technique", "cppthread"), ("total_ms", "36787.6"), ("gflops", "38.9949"))
+
+
+def wide_summary(spark, d):
+    header, *body = WIDE_SUMMARY.split("\n")
+    parts = F.split("value", ",")
+    cells = lines(spark, *body).select("line_no", *(parts[k].alias(c) for k, c in enumerate(header.split(","))))
+    return logs.wide_summary(cells).select("technique", *(F.col(c).cast("bigint").alias(c) for c in ("n_train", "n_test")), *(F.col(c).cast("double").alias(c) for c in ("accuracy", "total_ms")))
+
+
+def vertical_summary(spark, d):
+    found = logs.vertical_summary(spark.createDataFrame([("thread", k, v) for k, v in VERTICAL_SUMMARY], "model string, key string, value string"))
+    return found.select("model", F.explode("metrics").alias("key", "value"))
+
+
+def flop_models(spark, d):
+    n = table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.lit(250.0).alias("ms"))
+    flops = {"linear": registry.linear_flops(F.col("n")), "kernel": registry.kernel_flops(F.col("n"), F.lit(600)), "pairwise": registry.pairwise_flops(F.col("n"), 6)}
+    parts = F.array(*(F.struct(F.lit(k).alias("what"), c.cast("bigint").alias("flops")) for k, c in flops.items()))
+    long = n.select("n", "ms", F.explode(parts).alias("x"))
+    return long.select("x.what", "x.flops", F.round(registry.gflops(F.col("x.flops"), F.col("ms")), 6).alias("gflops"), F.round(registry.throughput(F.col("n"), F.col("ms")), 6).alias("rows_per_s"))
+
+
+DURATIONS = (None, 0.0, 12.4, 999.4, 1000.0, 22658.62, 59_900.0, 90_000.0, 7_200_000.0)
+
+
+def shown_durations(spark, d):
+    out = spark.createDataFrame([(k, x) for k, x in enumerate(DURATIONS)], "k int, ms double")
+    return out.select("k", registry.shown_duration(F.col("ms")).alias("duration"), registry.shown_number(F.col("ms")).alias("number"))
+
+
+def legacy_bypass(spark, d):
+    found = serving.hybrid_online(_margin_verdicts(spark, d), 0.5, normal_too=True)
+    return serving.legacy_bypass(found).groupBy("predicted_class", "is_uncertain").agg(F.count("*").alias("n")).select(F.col("predicted_class").cast("int").alias("predicted_class"), "is_uncertain", "n")
+
+
 def parse_metric_log(spark, d):
     found = logs.metric_log(spark.createDataFrame([(m, k, n, v) for k, (m, n, v) in enumerate(METRIC_LOG)], "model string, line_no int, metric string, value string"))
     return found.select("model", *(r6(c).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes if c != "model"))
@@ -462,7 +678,8 @@ def _trained(fit):
 
 
 def train_validated_log(spark, d):
-    split = prep.stratified_split(trained(spark, d), "label", "row_id")
+    train = prep.stratified_split(trained(spark, d), "label", "row_id").where("split = 'train'").drop("split")
+    split = prep.stratified_split(train, "label", "row_id")  # a part of the training rows validates
     _, _, log = training.train_validated(split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split"), 3, 20)
     return spark.createDataFrame([tuple(map(float, r)) for r in log], "epoch double, rate double, accuracy double, macro_f1 double")
 
@@ -492,18 +709,19 @@ def principal_components(spark, d):
 
 def stream_counts(spark, d):
     """The events table as a stream, drained at once: hourly counts by type."""
-    import uuid
-
-    from braidflow.shared import scratch_root
-
-    base = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    base = Scratch(spark, "stream").base
     events = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
     events.repartition(4).write.parquet(f"{base}/in")
     hourly = stream.read(spark, f"{base}/in", events.schema).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    name = f"counts_{uuid.uuid4().hex}"
-    q = hourly.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    written = []
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
+        written.append(number)
+
+    q = hourly.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("start"), "event_type", "n")
+    return spark.read.parquet(f"{base}/out/{written[-1]}").select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 QUERIES = {
@@ -515,10 +733,14 @@ QUERIES = {
         dbscan_strict, kth_distance, knee_radius, percentile_radius, cluster_centroids, nearest_centroid, cluster_labels, serve_plain, serve_hybrid_online, serve_hybrid_pretrained, serve_summary,
         serve_pure, parse_config, parse_label_map, parse_upload, parse_pasted, parse_section, parse_json_features, parse_run_log, parse_metric_log, best_epoch, early_stopping, registry_overview,
         registry_comparison, speedups, cosine_rate, shown_labels, train_rff, train_validated_log, prediction_distribution, epoch_errors, accuracy_csv, principal_components, stream_counts,
+        cluster_labels_mixed, serve_kernel, serve_csv, validation_clusters, cluster_counts, gradient_sums, rbf_scores_wide, feature_files, prediction_files, metric_files, linear_model_files, kernel_model_files,
+        fourier_model_files, cluster_model_files, scaler_state, weight_lines, config_lines, epoch_log_lines, epoch_trailer, json_responses, served_models, model_info, latest_log, wide_summary, vertical_summary,
+        flop_models, shown_durations, legacy_bypass,
     )
 } | {
     **{f"per_class_prf_{v}": _prf(v) for v in ("all", "trained", "restricted")},
     **{f"hybrid_final_{p}": _final(p) for p in PROFILES},
+    **{f"hybrid_mixed_{p}": _mixed(p) for p in PROFILES},
     **{f"hybrid_rates_{p}": _rates(p) for p in PROFILES},
     "train_linear_adam": _trained(lambda r: training.train_linear(r, training.CLASS_WEIGHTS["openmp"], 120)),
     "train_linear_all": _trained(lambda r: training.train_linear_all(r, epochs=10)),

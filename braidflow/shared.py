@@ -59,6 +59,12 @@ class Scratch:
             path.getFileSystem(self._hadoop()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file system that Spark reads has the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of queries that are over, instead of when the driver next collects its garbage."""
     gc.collect()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidflow.shared import exists
+
 FEATURES = 52
 
 
@@ -102,6 +104,17 @@ def pasted(lines: DataFrame, width: int = FEATURES) -> DataFrame:
     return rows.where(F.size("x") >= width).select("line_no", F.slice("x", 1, width).alias("x"))
 
 
+def label_map_file(spark: SparkSession, path: str) -> DataFrame:
+    """The label map in a file; empty where there is none."""
+    return label_map(spark.read.text(path) if exists(spark, path) else spark.createDataFrame([], "value string"))
+
+
+def first_path(spark: SparkSession, name: str, roots: list[str]) -> str:
+    """The first of root/name that exists in any file system that Spark reads; the name itself where none does."""
+    paths = [f"{root.rstrip('/')}/{name}" for root in roots]
+    return next((p for p in paths if exists(spark, p)), name)
+
+
 def section(lines: DataFrame, marker: str) -> DataFrame:
     """The lines from the first that contains the marker on; all of them if none does."""
     start = lines.agg(F.coalesce(F.min(F.when(F.contains("value", F.lit(marker)), F.col("line_no"))), F.min("line_no")).alias("start"))

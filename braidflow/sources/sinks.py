@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,6 +47,39 @@ def config_lines(holdout: list[int], trained: list[int], names: dict[int, str],
     return lines + [f"{k}={v}" for k, v in numbers.items()]
 
 
+def name_lines(spark: SparkSession, names: list[str]) -> DataFrame:
+    """Feature names, one a line, in order."""
+    return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "line_no int, value string")
+
+
+def scaler_rows(spark: SparkSession, fitted: dict[str, tuple[float, float]]) -> DataFrame:
+    """A scaler's state: position, feature, mean, scale."""
+    return spark.createDataFrame([(k, c, float(m), float(d)) for k, (c, (m, d)) in enumerate(fitted.items())], "position int, feature string, mean double, scale double")
+
+
+def read_scaler(rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """The state back, a row for each feature."""
+    return {r["feature"]: (r["mean"], r["scale"]) for r in rows.orderBy("position").collect()}
+
+
+def epoch_log_lines(spark: SparkSession, log: list[tuple], columns: list[str], **trailer: float) -> DataFrame:
+    """An epoch log as lines: a header, a line for each validation, then key,value lines."""
+    lines = [",".join(columns), *(",".join(map(str, r)) for r in log), *(f"{k},{v}" for k, v in trailer.items())]
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
+
+
+def logger(path: str, name: str = "braidflow") -> logging.Logger:
+    """A logger of the driver that writes every line to the console and to a file."""
+    out = logging.getLogger(f"{name}:{path}")
+    if not out.handlers:
+        for handler in (logging.StreamHandler(), logging.FileHandler(path)):
+            handler.setFormatter(logging.Formatter("[%(asctime)s] %(message)s"))
+            out.addHandler(handler)
+        out.setLevel(logging.INFO)
+        out.propagate = False
+    return out
+
+
 def weight_lines(weights: DataFrame) -> DataFrame:
     """label, weight -> value: class_<id>_weight=<number>."""
     return weights.select(F.concat(F.lit("class_"), F.col("label").cast("string"), F.lit("_weight="), fixed(F.col("weight"), 6)).alias("value"))
