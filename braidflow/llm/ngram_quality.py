@@ -18,8 +18,8 @@ withheld when it is scored: with c' = c - own occurrences,
 and p = p1 where nothing else follows v. So a document is no evidence for itself, and a word that it alone has is
 scored by p1, which every word of the corpus has: there is no unknown word.
 
-Scoring. No array is broadcast. The documents send, in ROUNDS parts, their pairs with the places of the
-documents to the shards that own them; the owners answer with each document's bits, as whole numbers of 2^-20
+Scoring. No array is broadcast. In ROUNDS rounds, each for a part of the shards, the documents send their pairs with
+the places of the documents to the shards that own them; the owners answer with each document's bits, as whole numbers of 2^-20
 bit, so that sums don't depend on their order, on CHUNK_WORDS, on ROUNDS or on the number of shards. A shard with a very
 frequent context gets as many tasks as its share asks for, each with its own copy of the shard.
 
@@ -188,18 +188,20 @@ class Chunk:
             self.texts.append(keyed(np.concatenate(([_START], words)), lang))
             self.size += len(words)
 
-    def pairs(self, shards: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-        """The words, and for each shard its sorted pairs, one for each occurrence, and the documents they are in."""
+    def pairs(self, shards: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """The words, and for each shard (of a part of them) its sorted pairs, one for each occurrence, and the documents they are in."""
         words, places = np.unique(np.concatenate(self.texts), return_inverse=True)
         n = len(words)
         sizes = np.array([len(t) for t in self.texts])
         ends = np.cumsum(sizes)
         inside = np.ones(len(places), bool)
         inside[ends - 1] = False
-        first = places[inside]
-        pairs = first.astype(np.uint64) * _U(n) + places[1:][inside[:-1]].astype(np.uint64)
-        owner = shard_of(words, shards)[first]
-        doc = np.repeat(np.arange(len(sizes)), sizes - 1)
+        owners = shard_of(words, shards)
+        at = np.flatnonzero(inside & (owners % parts == part)[places])
+        first = places[at]
+        pairs = first.astype(np.uint64) * _U(n) + places[at + 1].astype(np.uint64)
+        owner = owners[first]
+        doc = np.repeat(np.arange(len(sizes)), sizes)[at]
         order = np.lexsort((pairs, owner))  # stable, so documents rise within a pair
         bounds = np.searchsorted(owner[order], np.arange(shards + 1))
         return words, [(k, pairs[o], doc[o]) for k in range(shards) if len(o := order[bounds[k] : bounds[k + 1]])]
@@ -397,15 +399,15 @@ class Shard:
         return squeeze(there, np.bincount(at, q).astype(np.int64), np.bincount(at, m).astype(np.int64), keys)
 
 
-def _sent(shards: int, size: int, extra: dict[int, tuple[int, int]]):
-    """The documents' pairs, for the shards that own them: pairs, how many documents have each, those documents, how often.
+def _sent(shards: int, size: int, extra: dict[int, tuple[int, int]], part: int, of: int):
+    """The documents' pairs, for the shards of a part that own them: pairs, how many documents have each, those documents, how often.
 
     The first message of a chunk brings its documents' keys. extra: of a copied shard its first further owner and their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, size):
-            words, parts = chunk.pairs(shards)
+            words, parts = chunk.pairs(shards, part, of)
             keys = np.array(chunk.keys, np.int64).view(np.uint64)
             source = int(mix64(keys + np.arange(len(keys), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
             for k, pairs, doc in parts:
@@ -494,20 +496,19 @@ def perplexities(docs: DataFrame, scratch: Scratch, chunk_words: int = CHUNK_WOR
         if more := int(n // (2 * mean)):
             extra[k] = (owners, more)
             owners += more
-    model = pairs.unionByName(answers)
+    model = pairs.unionByName(answers).withColumn("of", F.col("owner"))
     if extra:
         to = F.coalesce(*(F.when(F.col("owner") == k, F.array(F.lit(k), *(F.lit(at + j) for j in range(n)))) for k, (at, n) in extra.items()), F.array("owner"))
         model = model.withColumn("owner", F.explode(to))
     shared = spark.sparkContext.broadcast((pair_stats, word_stats))
     out = None
     for k in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64("rk", F.lit(5)), F.lit(rounds)) == k)
-        sent = part.mapInArrow(_sent(shards, chunk_words, extra), _MESSAGE)
-        answered = _dealt(model.unionByName(sent), owners).mapInArrow(_scored(shared, shards), _MESSAGE)
+        sent = docs.mapInArrow(_sent(shards, chunk_words, extra, k, rounds), _MESSAGE)
+        answered = _dealt(model.where(F.col("of") % rounds == k).drop("of").unionByName(sent), owners).mapInArrow(_scored(shared, shards), _MESSAGE)
         added = answered.repartition("source").sortWithinPartitions("source").mapInArrow(_added, "rk long, bits long, n long")
         done = scratch.write(added, f"bits-{k}")
         out = done if out is None else out.unionByName(done)
-        del part, sent, answered, added
+        del sent, answered, added
         release(spark)
     scratch.drop("pairs", "answers")
     return out.groupBy("rk").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
