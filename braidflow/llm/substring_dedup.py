@@ -2,18 +2,18 @@
 
 A gear hash rolls over a text's bytes; a chunk ends where its top bits are zero, so that chunks depend
 on the bytes around their ends alone and fall into step again after an insertion. Chunks are compared
-by 64-bit digests. The first chunk of a digest (by doc_id, then position) stays; later ones that follow
-each other in their document as in the first one's are a run. A run is extended on both sides by
-comparing bytes with the text around its source, and trimmed to whole words. Repeated stretches of
-more than MIN_WORDS words are deleted.
+by 64-bit digests. The first chunk of a digest (by doc_id, then position) stays; those in other documents that
+follow each other as in the first one's are a run. A run is extended on both sides by
+comparing bytes with the text around its source, and trimmed to whole words. Stretches of
+more than MIN_WORDS words that repeat across documents are deleted.
 
-A byte that is deleted equals one at an earlier place, so one copy of everything stays. Before a run
+A byte that is deleted equals one in an earlier document, so one copy of everything stays. Before a run
 is used, another hash of all its bytes is compared with its source's, so a chance collision of digests
 deletes nothing.
 
-Defined cases: a null text counts as empty and is returned empty; rows without doc_id come first;
-rows of the same doc_id are one document, so they are no copies of each other; repeats within a document
-count as those across documents do; other columns do not matter.
+Defined cases: a null text counts as empty and is returned empty; rows without doc_id come first, in an order of
+their own, each text a document; rows of the same doc_id are one document, so they are no copies of each other;
+what repeats within one document alone stays; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from braidflow.llm.common import _SPACE, Scratch, byte_texts, release, slices, table
 
-MIN_CHUNK, MAX_CHUNK, BITS = 24, 128, 5
+MIN_CHUNK, MAX_CHUNK, BITS = 16, 128, 4
 CONTEXT = 320
 MIN_WORDS = 50
-NO_ID = -(2**63)
+NO_ID, NO_IDS = -(2**63), 2**61  # the first key of rows without doc_id, and how many there are
+SLICES_BITS = 16
 
 _GEAR = np.random.default_rng(9).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -93,16 +94,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stands on both sides of a source, and another hash of the source itself."""
+    """Of each wanted slice of a source: what stands on both sides of it, and another hash of the slice itself."""
     import xxhash
 
     for batch in slices(batches, 64):
-        left, right, check = [], [], []
-        for data, a, b in zip(byte_texts(batch.column("text")), batch.column("src_start").to_pylist(), batch.column("src_stop").to_pylist(), strict=True):
-            left.append(data[max(0, a - CONTEXT) : a])
-            right.append(data[b : b + CONTEXT])
-            check.append(xxhash.xxh3_64_intdigest(data[a:b], 9))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("src", "src_start", "src_stop")), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(np.array(check, np.uint64).view(np.int64))], names=["src", "src_start", "src_stop", "before", "after", "check"])
+        src, start, stop, left, right, check = [], [], [], [], [], []
+        for did, data, wanted in zip(batch.column("src").to_pylist(), byte_texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            for x in wanted:
+                a, b = x["src_start"], x["src_stop"]
+                src.append(did)
+                start.append(a)
+                stop.append(b)
+                left.append(data[max(0, a - CONTEXT) : a])
+                right.append(data[b : b + CONTEXT])
+                check.append(xxhash.xxh3_64_intdigest(data[a:b], 9))
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(np.array(check, np.uint64).view(np.int64))], names=["src", "src_start", "src_stop", "before", "after", "check"])
 
 
 def _alike(a: bytes, b: bytes) -> int:
@@ -114,6 +120,11 @@ def _alike(a: bytes, b: bytes) -> int:
     return int(x.argmax())
 
 
+def _whole(context: bytes, n: int, next_byte: bytes) -> bool:
+    """Whether a word ends after n bytes of a source's context and before the document's next byte."""
+    return (n == len(context) or _SPACE[context[n]]) and (not next_byte or _SPACE[next_byte[0]])
+
+
 def repeated_spans(data: bytes, runs: list[dict]) -> list[tuple[int, int, set[int]]]:
     """Stretches of whole words, more than MIN_WORDS of them, that runs and their contexts cover."""
     import xxhash
@@ -123,8 +134,17 @@ def repeated_spans(data: bytes, runs: list[dict]) -> list[tuple[int, int, set[in
         a, b = r["start"], r["stop"]
         if xxhash.xxh3_64_intdigest(data[a:b], 9) != r["check"] % 2**64:
             continue
-        back = _alike(data[max(0, a - len(r["before"])) : a][::-1], r["before"][::-1])
-        spans.append((a - back, b + _alike(data[b : b + len(r["after"])], r["after"]), r["src"]))
+        before, after = r["before"][::-1], r["after"]
+        back, ahead = _alike(data[max(0, a - len(before)) : a][::-1], before), _alike(data[b : b + len(after)], after)
+        a, b = a - back, b + ahead
+        # where the two texts part, only words that end in both are the source's; beyond the context they may go on
+        parted = back < CONTEXT and not _whole(before, back, data[:a][-1:])
+        while parted and a < b and not _SPACE[data[a]]:
+            a += 1
+        parted = ahead < CONTEXT and not _whole(after, ahead, data[b : b + 1])
+        while parted and b > a and not _SPACE[data[b - 1]]:
+            b -= 1
+        spans.append((a, b, r["src"]))
     merged: list[list] = []
     for a, b, src in sorted(spans):
         if merged and a <= merged[-1][1]:
@@ -140,6 +160,8 @@ def repeated_spans(data: bytes, runs: list[dict]) -> list[tuple[int, int, set[in
         if b < len(data) and not _SPACE[data[b]]:
             while b > a and not _SPACE[data[b - 1]]:
                 b -= 1
+        if a and b < len(data) and not _SPACE[data[a - 1]] and not _SPACE[data[b]]:
+            a += 1  # the white space that parts what stays
         if len(data[a:b].split()) > MIN_WORDS:
             out.append((a, b, sources))
     return out
@@ -157,7 +179,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(b"".join([*kept, data[at:]]).decode())
             removed.append(sum(b - a for a, b, _ in spans))
             spans_out.append(len(spans))
-            sources_out.append(sorted(x for x in set().union(*(s for _, _, s in spans)) if x != NO_ID))
+            sources_out.append(sorted(x for x in set().union(*(s for _, _, s in spans)) if x >= NO_ID + NO_IDS))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans_out, pa.int64()), pa.array(removed, pa.int64()), pa.array(sources_out, pa.list_(pa.int64()))], names=["doc_id", "text", "n_spans", "removed_bytes", "source_ids"])
 
 
@@ -165,10 +187,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text (what is left of it), n_spans, removed_bytes, source_ids."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_IDS))).alias("did"), text.alias("text"))
     chunks = rows.select("did", "text").mapInArrow(_chunks, "digest long, did long, start int, size int")
     first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("did", "start")).alias("first")).where("n > 1").select("digest", "first")
-    later = chunks.join(first, "digest").where(F.struct("did", "start") != F.col("first"))
+    later = chunks.join(first, "digest").where(F.col("did") != F.col("first.did"))
     later = later.select("did", "start", "size", F.col("first.did").alias("src"), F.col("first.start").alias("src_start")).distinct()
     listed = later.groupBy("did").agg(F.sort_array(F.collect_list(F.struct("start", "size", "src", "src_start"))).alias("chunks"))
     runs = scratch.write(listed.mapInArrow(_runs, "did long, start int, stop int, src long, src_start int"), "runs")
@@ -176,7 +199,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     runs = runs.withColumn("src_stop", F.expr("src_start + stop - start"))
     sources = runs.select("src", "src_start", "src_stop").distinct()
-    beside = rows.select(F.col("did").alias("src"), "text").join(sources, "src").select("src", "src_start", "src_stop", "text")
+    wanted = sources.groupBy("src", F.shiftright("src_start", SLICES_BITS).alias("part")).agg(F.collect_list(F.struct("src_start", "src_stop")).alias("wanted"))  # a stretch of a source's text at a time
+    beside = rows.select(F.col("did").alias("src"), "text").join(wanted, "src").select("src", "text", "wanted")
     contexts = scratch.write(beside.mapInArrow(_contexts, "src long, src_start int, src_stop int, before binary, after binary, check long"), "contexts")
     release(spark)
 
