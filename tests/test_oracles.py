@@ -1,4 +1,4 @@
-"""The registered queries against their SQL, on the smallest tables."""
+"""Every registered query that has SQL against it."""
 
 import math
 import os
@@ -6,13 +6,14 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-NAMES = (
-    "class_distribution", "label_encode", "clean_nonfinite", "ingest", "feature_variance_mask", "class_weights", "stratified_split", "undersample", "balanced_pair_sample", "holdout_spill",
-    "pair_models_lda", "pair_scores", "ovo_predict", "confidences", "rbf_scores", "rff_map", "hybrid_final_mpi", "hybrid_final_openmp", "per_class_prf_restricted", "detection_by_class",
-    "dbscan_clusters", "knee_radius", "serve_hybrid_pretrained", "serve_pure", "parse_metric_log", "parse_config", "best_epoch", "speedups", "cosine_rate",
-)
+
+
+def names():
+    from braidflow.plans.oracles import ORACLES
+
+    return sorted(ORACLES)
 
 
 def plain(v):
@@ -29,7 +30,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", names())
 def test_query(spark, db, name):
     from braidflow.plans.oracles import ORACLES
     from braidflow.plans.queries import QUERIES
@@ -44,6 +45,25 @@ def test_query(spark, db, name):
     assert got == wanted
 
 
+@pytest.mark.parametrize("name", ["pyspark", "cuda", "mpi", "openmp", "thread"])
+def test_profiles_take_every_branch(spark, name):
+    """The intransitive scores reach what the discriminant's never do."""
+    from braidflow.operators import hybrid
+    from braidflow.plans import queries
+
+    p = queries.mixed_profile(name)
+    rows = queries.mixed_final(spark, SF, name).collect()
+    unsure = [r for r in rows if r["route"] == "uncertain"]
+    assert unsure and any(r["route"] == "confident" for r in rows) and any(r["route"] == "holdout" for r in rows)
+    assert any(r["cluster_id"] is None for r in unsure)  # beyond the cap
+    assert any(r["cluster_id"] == -1 for r in unsure) and any((r["cluster_id"] or 0) >= 0 and r["cluster_id"] is not None for r in unsure)
+    assert (any(r["route"] == "normal" for r in rows)) == (p.normal_bypass and name != "mpi")
+    routed = hybrid.route(hybrid.judge(queries.mixed_scores(spark, SF), p), p)
+    pooled = hybrid.pool(routed, p)
+    labels = hybrid.label_clusters(hybrid.cluster_pool(pooled, p), hybrid.normal_centroid(routed, pooled, p), p).collect()
+    assert any(r["anchors"] == 0 for r in labels)
+
+
 def test_entry():
     import __spark_entry__ as e
 

@@ -58,13 +58,70 @@ def test_epoch_log_and_trailer(spark):
 
 
 def test_requests_are_checked():
-    for args, status in ((("none", "hybrid", 52), 404), (("mpi", "odd", 52), 400), (("mpi", "hybrid", 51), 400)):
+    for args, status in ((("none", "hybrid", 52), 400), (("mpi", "odd", 52), 400), (("mpi", "hybrid", 51), 400), (("mpi", "hybrid", 0), 400)):
         with pytest.raises(serving.RequestError) as e:
             serving.check_request(*args)
         assert e.value.status == status
     with pytest.raises(serving.RequestError) as e:
         serving.check_request("mpi", "hybrid", 52, loadable=())
     assert e.value.status == 503
+    with pytest.raises(serving.RequestError) as e:
+        serving.check_request("none", "none", 52, unknown=404)
+    assert e.value.status == 404
+
+
+def test_predictions_by_kind_of_model(spark):
+    """Linear kinds count votes and give a zero to the second class; kernel kinds take margins and give it to the first."""
+    from braidflow.operators.models import LinearPairs
+    from braidflow.operators.taxonomy import PAIRS
+
+    model = LinearPairs(PAIRS, ((1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (1.0, 1.0), (0.0, 0.0), (0.0, 0.0)), (0.0,) * 6)
+    batch = spark.createDataFrame([(0, [2.0, 3.0]), (1, [-1.0, 0.5])], "row_id long, x array<double>")
+    by = lambda **k: serving.predict(batch, model, "none", dims=2, **k).orderBy("row_id").collect()
+    linear, kernel = by(name="mpi"), by(name="thread")
+    assert [(r["predicted_class"], r["confidence"]) for r in linear] == [(5, 1.0), (5, 1.0)]
+    assert kernel[0]["predicted_class"] == 2 and kernel[0]["confidence"] == pytest.approx(5 / 3)
+    for bad, kinds in (([(0, [1.0])], {}), ([], {}), ([(0, [1.0, float("nan")])], {}), ([(0, [1.0, 2.0])], {"name": "other"})):
+        with pytest.raises(serving.RequestError) as e:
+            serving.predict(spark.createDataFrame(bad, "row_id long, x array<double>"), model, dims=2, **kinds)
+        assert e.value.status == 400
+    assert "is_outlier" in serving.predict(batch, name="dbscan", dims=2).columns
+    got = serving.predict(batch, model, "hybrid", dims=2, name="thread", clusters=[(0, [0.0] * 6)])
+    assert "distance" not in got.columns  # stored clusters of another width aren't used
+    got = serving.predict(batch, model, "hybrid", 9.0, dims=2, name="thread", clusters=[(3, [0.0] * 4)])
+    assert "distance" in got.columns and all(r["cluster_id"] in (3, -1) for r in got.collect() if r["distance"] is not None)
+
+
+def test_vectors_of_different_widths_are_an_error(spark):
+    from braidflow.functions.vectors import dot
+
+    rows = spark.createDataFrame([([1.0, 2.0], [1.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="widths"):
+        rows.select(dot(rows["a"], rows["b"])).collect()
+
+
+def test_paths_maps_and_loggers(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "map.txt").write_text("0:Bots [HOLDOUT]\n")
+    found = loaders.first_path(spark, "map.txt", [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert found.endswith("b/map.txt") and loaders.first_path(spark, "no.txt", [str(tmp_path)]) == "no.txt"
+    assert loaders.label_map_file(spark, found).count() == 1 and loaders.label_map_file(spark, str(tmp_path / "x")).count() == 0
+    log = sinks.logger(str(tmp_path / "run.log"))
+    log.info("one line")
+    assert "one line" in (tmp_path / "run.log").read_text()
+    fitted = {"a": (1.0, 2.0), "b": (0.0, 1.0)}
+    assert sinks.read_scaler(sinks.scaler_rows(spark, fitted)) == fitted
+
+
+def test_micro_batches_replace_their_own_result(spark, tmp_path):
+    from braidflow.streaming import scoring as stream
+
+    rows = spark.createDataFrame([(k, float(k)) for k in range(20)], "k int, x double")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    read = stream.read(spark, str(tmp_path / "in"), rows.schema, 2)
+    for _ in range(2):
+        stream.each_batch(read, str(tmp_path / "out"), str(tmp_path / "state"), lambda b: b.where("k % 2 = 0")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 
 def test_single_row_requests(spark):
