@@ -104,9 +104,9 @@ def save(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def class_moments(rows: DataFrame, label: str = "label", features: str = "x") -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def class_moments(rows: DataFrame, label: str = "label", features: str = "x", width: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Mean and population variance vectors of each class: one aggregation, a row for each class."""
-    width = rows.select(F.size(features).alias("n")).where("n >= 0").first()["n"]
+    width = width or rows.select(F.size(features).alias("n")).where("n >= 0").first()["n"]
     col = F.col(features)
     stats = rows.groupBy(label).agg(F.array(*(F.avg(col[k]) for k in range(width))).alias("m"), F.array(*(F.var_pop(col[k]) for k in range(width))).alias("v"))
     return {r[label]: (np.array(r["m"]), np.array(r["v"])) for r in stats.collect()}

@@ -185,7 +185,7 @@ def predict(batch: DataFrame, model=None, mode: str = "hybrid", threshold: float
     confidence, rule, at_zero_first, space = DECIDES[name]
     threshold = THRESHOLDS[name] if threshold is None else threshold
     scored = Scratch(batch.sparkSession, "request").write(scoring.score(batch, model, fourier).select("row_id", "scores"), "scored")
-    verdicts = plain(scored, confidence, rule, at_zero_first)
+    verdicts = Scratch(batch.sparkSession, "request").write(plain(scored, confidence, rule, at_zero_first), "verdicts")
     if mode == "none":
         return verdicts.select("row_id", "predicted_class", "predicted_label", "confidence", "vote_map")
     width = 6 if space == "scores" else 4

@@ -38,7 +38,7 @@ def trained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lda(spark: SparkSession, d: str):
-    return lda_pairs(class_moments(trained(spark, d)))
+    return lda_pairs(class_moments(trained(spark, d), width=DIMS))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,8 @@ def mixed_final(spark: SparkSession, d: str, name: str) -> DataFrame:
 def pool_points(spark: SparkSession, d: str) -> DataFrame:
     """The margin profile's pool in score space: id, v."""
     profile = replace(PROFILES["thread"], space="scores")
-    return hybrid.pool(hybrid.route(judged(spark, d, "thread"), profile), profile).select("id", "v")
+    routed = hybrid.route(judged(spark, d, "thread"), profile).select("row_id", "label", "scores", "pred", "route")
+    return hybrid.pool(Scratch(spark, "pool").write(routed, "routed"), profile).select("id", "v")
 
 
 # ---- preparation
@@ -169,7 +170,7 @@ def class_names(spark, d):
 
 
 def pair_models_centroid(spark, d):
-    return centroid_pairs(class_moments(trained(spark, d))).table(spark).select("pair", "pos", "neg", rounded(F.col("w")).alias("w"), r6("b").alias("b"))
+    return centroid_pairs(class_moments(trained(spark, d), width=DIMS)).table(spark).select("pair", "pos", "neg", rounded(F.col("w")).alias("w"), r6("b").alias("b"))
 
 
 def pair_models_lda(spark, d):
@@ -303,7 +304,7 @@ def cluster_centroids(spark, d):
 
 
 def nearest_centroid(spark, d):
-    m = class_moments(trained(spark, d))
+    m = class_moments(trained(spark, d), width=DIMS)
     model = [(c, m[c][0].tolist()) for c in TRAINED]
     points = rows(spark, d).select(F.col("row_id").alias("id"), F.col("x").alias("v"))
     return clustering.nearest_centroid(points, model).select("id", "cluster_id", r6("distance").alias("distance"))
@@ -333,7 +334,7 @@ def cluster_labels_mixed(spark, d):
 
 def _labels(scores: DataFrame, p: hybrid.Profile) -> DataFrame:
     scratch = Scratch(scores.sparkSession, "labels")
-    routed = scratch.write(hybrid.route(hybrid.judge(scores, p), p).select("row_id", "label", "scores", "votes", "margins", "pred", "conf", "route"), "routed")
+    routed = scratch.write(hybrid.route(hybrid.judge(scratch.write(scores, "scores"), p), p).select("row_id", "label", "scores", "votes", "margins", "pred", "conf", "route"), "routed")
     pooled = scratch.write(hybrid.pool(routed, p), "pool")
     clustered = hybrid.cluster_pool(pooled, p, stored=True)
     return hybrid.label_clusters(clustered, hybrid.normal_centroid(routed, pooled, p), p).select("cluster_id", "size", "anchors", "cluster_label")
@@ -348,7 +349,7 @@ def serve_plain(spark, d):
 
 
 def _margin_verdicts(spark, d):
-    return serving.plain(scored(spark, d), "margin", "vote_margin")
+    return Scratch(spark, "verdicts").write(serving.plain(scored(spark, d), "margin", "vote_margin"), "verdicts")
 
 
 def serve_hybrid_online(spark, d):
@@ -397,7 +398,8 @@ def serve_csv(spark, d):
 
 
 def validation_clusters(spark, d):
-    return training.validation_clusters(hybrid.judge(mixed_scores(spark, d), PROFILES["cuda"]), eps=0.35)
+    judged_rows = Scratch(spark, "validation").write(hybrid.judge(mixed_scores(spark, d), PROFILES["cuda"]), "judged")
+    return training.validation_clusters(judged_rows, eps=0.35)
 
 
 def cluster_counts(spark, d):
