@@ -50,7 +50,7 @@ from braidflow.llm.common import _SPACE, Scratch, byte_texts, mix64, release, sl
 CHUNK_WORDS = 2_500_000
 MERGE_PAIRS = 4_000_000
 MAX_SHARDS = 4096
-ROUNDS = 4
+ROUNDS = 3
 SLOT_BITS = 16
 SCALE = 1 << 20
 BINS = 100
