@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from braidflow.llm.common import _SPACE, Scratch, byte_texts, release, slices, table
 
-MIN_CHUNK, MAX_CHUNK, BITS = 16, 128, 4
+MIN_CHUNK, MAX_CHUNK, BITS = 20, 128, 4
 CONTEXT = 320
 MIN_WORDS = 50
 NO_ID, NO_IDS = -(2**63), 2**61  # the first key of rows without doc_id, and how many there are
