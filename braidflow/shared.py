@@ -67,10 +67,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of queries that are over, instead of when the driver next collects its garbage."""
-    for _ in range(3):
+    for _ in range(1 if spark.sparkContext.master.startswith("local[") else 3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(RELEASE_SECONDS)  # the files go in the background
+        time.sleep(RELEASE_SECONDS)  # the files go in the background, on other machines after a message
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
