@@ -218,10 +218,13 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = near_dedup(docs, percent).where("kept")
     rows = kept.groupBy("root", "rk").agg(F.count("*").alias("n"))
     chosen = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("rk", "n")).alias("x")).select("x.rk", "x.n")
-    stay = Scratch(docs.sparkSession, "stay").write(chosen.unionByName(rows.where("root IS NULL").select("rk", F.lit(1).cast("long").alias("n"))), "stay").withColumnRenamed("rk", rk)
-    once = docs.join(stay.where("n = 1").select(rk), key == F.col(rk), "left_semi")
-    again = docs.withColumn(rk, key).join(stay.where("n > 1").select(rk), rk, "left_semi").dropDuplicates([rk]).select(*docs.columns)
-    return once.unionByName(again)
+    scratch = Scratch(docs.sparkSession, "stay")
+    stay = scratch.write(chosen.unionByName(rows.where("root IS NULL").select("rk", F.lit(1).cast("long").alias("n"))), "stay").withColumnRenamed("rk", rk)
+    repeated = scratch.write(stay.where("n > 1").select(rk), "repeated")  # few as a rule; its size decides how it is joined
+    keyed = docs.withColumn(rk, key)
+    once = keyed.join(stay.where("n = 1").select(rk), rk, "left_semi")
+    again = keyed.join(repeated, rk, "left_semi").dropDuplicates([rk])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
