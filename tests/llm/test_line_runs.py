@@ -3,7 +3,11 @@
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from braidflow.llm import line_dedup
+from braidflow.llm.common import Scratch
 from tests.llm.conftest import SCHEMA, document
 
 
@@ -38,3 +42,65 @@ def test_whole_runs_against_brute_force(spark):
         want = lines_left(rows, least, chars)
         got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.line_dedup(docs, least, chars, whole=True).collect()), key=repr)
         assert got == sorted(((r[0], want[r[0], r[1] or ""]) for r in rows), key=repr)
+
+
+def longest_runs(rows):
+    """For each line with text, the most lines from it that stand earlier too, by brute force."""
+    docs = {r[0]: [x.strip(" \t\r\x0b\x0c") for x in (r[1] or "").split("\n") if x.strip(" \t\r\x0b\x0c")] for r in rows}
+    places = sorted((d, p) for d, v in docs.items() for p in range(len(v)))
+    out = {}
+    for at, (d, p) in enumerate(places):
+        for e, q in places[:at]:
+            n = 0
+            while p + n < len(docs[d]) and q + n < len(docs[e]) and docs[d][p + n] == docs[e][q + n]:
+                n += 1
+            if n > out.get((d, p), (0, 0))[0]:
+                out[d, p] = (n, sum(map(len, docs[d][p : p + n])))
+    return out
+
+
+def runs_of(spark, rows, least):
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = line_dedup.repeated_runs(docs, Scratch(spark, "runs"), least).collect()
+    assert len(found) == len({(r["doc_id"], r["pos"]) for r in found})
+    return {(r["doc_id"], r["pos"]): (r["n"], r["chars"]) for r in found}
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    done, plain = [], line_dedup._doubled
+    monkeypatch.setattr(line_dedup, "_doubled", lambda suffixes, scratch, depth: done.append(depth) or plain(suffixes, scratch, depth))
+    return done
+
+
+def test_runs_come_out_whole(spark, rounds):
+    run = [f"line number {k}" for k in range(90)]
+    versions = [document(10 + k, "\n".join(run[: 30 + k])) for k in range(3)]  # each holds the one before and goes on
+    rows = [document(1, "\n".join(run)), document(2, "\n".join(["own", *run[:57], "end"])), *versions, document(20, "\n".join(["same"] * 9))]
+    for least in (1, 2, 4):
+        assert runs_of(spark, rows, least) == {k: v for k, v in longest_runs(rows).items() if v[0] >= least}
+    assert rounds[:6] == [1, 2, 4, 8, 16, 32] and runs_of(spark, rows, 2)[2, 1][0] == 57
+
+
+def test_runs_against_brute_force(spark):
+    rng = random.Random(12)
+    line = lambda: rng.choice(["a", "bb", "ccc", "dddd ee", "", "hh "])
+    rows = [document(k, "\n".join(line() for _ in range(rng.randint(0, 30)))) for k in range(25)]
+    rows += [document(100 + k, rows[k][1]) for k in range(0, 10, 2)] + [document(77, None)]
+    for least in (1, 3):
+        assert runs_of(spark, rows, least) == {k: v for k, v in longest_runs(rows).items() if v[0] >= least}
+
+
+def test_the_query_doubles_until_no_rank_repeats(spark, rounds):
+    from braidflow.llm.queries import QUERIES
+
+    QUERIES["op4_line_dedup"](spark, "/root/testdata/sf0.01").count()
+    assert len(rounds) > 3 and rounds == [2**k for k in range(len(rounds))]
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """As in the SQL, places are of doc_id and line, so rows of one id that share a place keep it both."""
+    shared = "a line of some length\nanother one of that length"
+    rows = [document(5, shared + "\nx"), document(5, shared + "\ny"), document(6, "z\n" + shared)]
+    got = sorted(r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [shared + "\nx", shared + "\ny", "z"]
