@@ -104,3 +104,13 @@ def test_lines_of_rows_that_share_an_id(spark):
     rows = [document(5, shared + "\nx"), document(5, shared + "\ny"), document(6, "z\n" + shared)]
     got = sorted(r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [shared + "\nx", shared + "\ny", "z"]
+
+
+def test_the_pipelines_stage_doubles_until_no_rank_repeats(spark, rounds):
+    import corpus_pipeline
+
+    run = [f"l{k:02d}" for k in range(40)]  # any two of its lines have six characters
+    docs = spark.createDataFrame([document(1, "\n".join(run)), document(2, "\n".join(["own", *run, "end"])), document(3, "\n".join(["few", *run[:10], "of them"]))], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, "").collect()}
+    assert got == {1: "\n".join(run), 2: "own\nend", 3: "\n".join(["few", *run[:10], "of them"])}  # 30 characters stay
+    assert rounds == [1, 2, 4, 8, 16, 32]
