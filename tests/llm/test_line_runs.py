@@ -114,3 +114,35 @@ def test_the_pipelines_stage_doubles_until_no_rank_repeats(spark, rounds):
     got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, "").collect()}
     assert got == {1: "\n".join(run), 2: "own\nend", 3: "\n".join(["few", *run[:10], "of them"])}  # 30 characters stay
     assert rounds == [1, 2, 4, 8, 16, 32]
+
+
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_the_array_and_its_neighbours_common_prefixes(spark):
+    rng = random.Random(13)
+    line = lambda: rng.choice(["a", "bb", "ccc", "dddd ee", "hh"])
+    texts = {k: [line() for _ in range(rng.randint(0, 20))] for k in range(12)} | {20: ["same"] * 9, 21: ["own"], 22: [f"l{k}" for k in range(40)], 23: [f"l{k}" for k in range(39)]}
+    docs = spark.createDataFrame([(k, k, "\n".join(v)) for k, v in texts.items()], "rk long, doc_id long, text string").repartition(3)
+    suffixes = [texts[k][p:] for k in texts for p in range(len(texts[k]))]
+    for least in (1, 2, 3):
+        array, prefixes = line_dedup.suffix_array(docs, Scratch(spark, "array"), least)
+        array = {r["at"]: texts[r["doc_id"]][r["pos"] :] for r in array.collect()}
+        assert len(array) <= len(suffixes) and sum(any(shared(x, y) >= least for y in suffixes if y is not x) for x in suffixes) <= len(array)
+        places, got = sorted(array), {r["at"]: (r["n"], r["chars"]) for r in prefixes.collect()}
+        near = {q: shared(array[p], array[q]) for p, q in zip(places, places[1:])}
+        assert got == {q: (n, sum(map(len, array[q][:n]))) for q, n in near.items() if n >= least}
+        for i, p in enumerate(places):  # in order: any two share the least of what neighbours between them share
+            for j in range(i + 1, len(places)):
+                assert shared(array[p], array[places[j]]) == min(near[q] for q in places[i + 1 : j + 1])
+
+
+def test_runs_over_narrow_ranges_of_the_array(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RANGE", 4)
+    monkeypatch.setattr(line_dedup, "WIDER", 2)
+    run = [f"line {k}" for k in range(30)]
+    order = random.Random(14).sample(range(12), 12)
+    rows = [document(k, "\n".join(run[: 12 + k])) for k in range(12)] + [document(20 + k, "\n".join(run[x:])) for k, x in enumerate(order)]
+    rows += [document(40 + k, "two\nlines") for k in range(20)] + [document(70, "\n".join(["same"] * 25))]
+    assert runs_of(spark, rows, 2) == {k: v for k, v in longest_runs(rows).items() if v[0] >= 2}
